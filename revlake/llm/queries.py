@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
-from revlake.llm import common, packing, token_counts
+from revlake.llm import common, packing, token_counts, toxicity
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +18,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), common.scratch(spark, "token-cache"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op9_token_counts)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.crc32_of_id("doc_id") % 3 == 1
+    learn = toxicity.label_rows(docs, common.table(spark, sf_dir, "labels"), "toxic").where(~held_out)
+    return toxicity.toxicity(docs, learn).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op9_token_counts, op10_toxicity)}
 ORACLE: dict[str, str] = {}
