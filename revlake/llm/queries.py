@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from revlake.llm import common, packing, token_counts, toxicity
+from revlake.llm import common, packing, quality, token_counts, toxicity
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = common.crc32_of_id("doc_id") % 4 == 2
+    learn = toxicity.label_rows(docs, common.table(spark, sf_dir, "labels"), "quality").where(~held_out)
+    return quality.quality(docs, learn).select("doc_id", held_out.alias("held_out"), "score", "predicted", "good", "n_lines")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), common.scratch(spark, "token-cache"))
@@ -25,5 +32,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, learn).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_packing, op7_quality, op9_token_counts, op10_toxicity)}
 ORACLE: dict[str, str] = {}
