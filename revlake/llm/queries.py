@@ -6,13 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from revlake.llm import common, packing, quality, token_counts, toxicity
+from revlake.llm import common, exact_topk, neighbours, packing, quality, token_counts, toxicity
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return exact_topk.exact_topk(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = common.crc32_of_id("doc_id") % 4 == 2
@@ -32,5 +42,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, learn).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op7_quality, op9_token_counts, op10_toxicity)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_neighbours, op6_exact_topk, op7_quality, op9_token_counts, op10_toxicity)}
+ORACLE: dict[str, str] = {
+    "op6_exact_topk": """
+        WITH valid AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM valid q JOIN valid c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.w) = len(c.w))
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 5""",
+}
