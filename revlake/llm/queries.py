@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from revlake.llm import common, exact_topk, neighbours, packing, quality, token_counts, toxicity
+from revlake.llm import common, exact_topk, neighbours, packing, quality, suffix_dedup, token_counts, toxicity
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings")
     return exact_topk.exact_topk(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -42,7 +46,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, learn).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_neighbours, op6_exact_topk, op7_quality, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_packing, op4_neighbours, op5_suffix_dedup, op6_exact_topk, op7_quality, op9_token_counts, op10_toxicity)}
 ORACLE: dict[str, str] = {
     "op6_exact_topk": """
         WITH valid AS (
