@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from revlake.llm import common, exact_topk, neighbours, packing, quality, suffix_dedup, token_counts, toxicity
+from revlake.llm import common, exact_topk, jaccard_join, neighbours, packing, quality, suffix_dedup, token_counts, toxicity
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(common.table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, learn).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op4_neighbours, op5_suffix_dedup, op6_exact_topk, op7_quality, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_packing, op4_neighbours, op5_suffix_dedup, op6_exact_topk, op7_quality, op9_token_counts, op10_toxicity)}
 ORACLE: dict[str, str] = {
     "op6_exact_topk": """
         WITH valid AS (

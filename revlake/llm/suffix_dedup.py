@@ -21,7 +21,6 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm.common import Stored, stored
+from revlake.llm.hashing import Hashes
 
 ANCHOR = 32
 #: Bytes of one collection, and segments of one key above which the key is split.
@@ -39,36 +39,6 @@ CHUNK = 1 << 20
 END = 0
 
 
-@cache
-def _random() -> np.ndarray:
-    return np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
-
-
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0xD1342543DE82EF95
-    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
-class Hashes:
-    """64-bit hashes of any stretch of an array of bytes."""
-
-    def __init__(self, b: np.ndarray):
-        self.up, self.down = _powers(1 << max(20, (len(b) + 1).bit_length()))
-        self.sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_random()[b] * self.up[: len(b)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
-
-
 def least_places(keys: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost least of every `width` neighbours (keys below 2**40, fewer than 2**24 of them)."""
     n = len(keys)
