@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from revlake.llm import common, exact_topk, jaccard_join, neighbours, packing, quality, suffix_dedup, token_counts, toxicity
+from revlake.llm import common, exact_topk, jaccard_join, line_dedup, mixing, neighbours, packing, quality, suffix_dedup, token_counts, toxicity
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(common.table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(common.table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +43,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, learn).select("doc_id", held_out.alias("held_out"), "score", "predicted", "good", "n_lines")
 
 
+#: Target weights of op8_mixing and of the pipeline; other sources have weight 1.
+WEIGHTS = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents"), WEIGHTS).select("doc_id", "source", "block", "slot", "position")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), common.scratch(spark, "token-cache"))
@@ -50,7 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, learn).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_packing, op4_neighbours, op5_suffix_dedup, op6_exact_topk, op7_quality, op9_token_counts, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_packing, op4_neighbours, op5_suffix_dedup, op6_exact_topk, op7_quality, op8_mixing, op9_token_counts, op10_toxicity)}
 ORACLE: dict[str, str] = {
     "op6_exact_topk": """
         WITH valid AS (
