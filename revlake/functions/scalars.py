@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The domain of derived object ids.
 OBJECT_DOMAIN = "revlake.object\0"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFC", s).casefold())
 
