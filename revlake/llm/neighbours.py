@@ -96,26 +96,50 @@ def units(v: np.ndarray) -> np.ndarray:
     return w / np.sqrt((w * w).sum(1, keepdims=True))
 
 
-def best_rows(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of each query. A matrix product finds who can be among them; the scores themselves are summed
-    row by row, so equal vectors get equal scores wherever they stand."""
-    out = []
-    uq, uv = units(q), units(v)
-    for at in range(0, len(q), 256):
-        rough = uq[at : at + 256] @ uv.T
-        for j, r in enumerate(rough):
-            i = at + j
-            other = ids != q_ids[i]
-            r = np.where(other, r, -np.inf)
-            if len(r) > k:
-                border = np.partition(r, len(r) - k)[len(r) - k]
-                keep = np.flatnonzero(other & (r >= border - 1e-9))
-            else:
-                keep = np.flatnonzero(other)
-            exact = (uv[keep] * uq[i]).sum(1)
-            best = top(exact, ids[keep], k)
-            out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[keep][best], "score": exact[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+class Best:
+    """The k best rows of each of some queries so far. A matrix product finds who can be among them; the scores
+    themselves are summed row by row, so equal vectors get equal scores wherever they stand."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.score = np.full((len(queries), k), -np.inf)
+        self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+
+    def add(self, at: np.ndarray, uq: np.ndarray, ids: np.ndarray, uv: np.ndarray) -> None:
+        """Unit vectors of the queries at these places, and rows for each of them."""
+        if not len(ids) or not len(at):
+            return
+        rough = uq @ uv.T
+        rough[self.queries[at][:, None] == ids[None, :]] = -np.inf
+        m, tied = self.k + 3, []
+        if len(ids) > m:
+            pick = np.argpartition(rough, len(ids) - m, axis=1)[:, -m:]
+            values = np.sort(np.take_along_axis(rough, pick, 1), 1)
+            # equal ones beyond the m picked can matter: those queries look at all that tie
+            tied = np.flatnonzero((values[:, 0] >= values[:, -self.k] - 1e-9) & (values[:, -self.k] > -np.inf))
+        else:
+            pick = np.broadcast_to(np.arange(len(ids)), (len(at), len(ids)))
+        exact = (uv[pick] * uq[:, None, :]).sum(2)
+        exact[np.take_along_axis(rough, pick, 1) == -np.inf] = -np.inf
+        names = np.where(exact == -np.inf, np.iinfo(np.int64).max, ids[pick])
+        before = self.score[at].copy(), self.ids[at].copy()
+        self._merge(at, exact, names)
+        for j in tied:
+            r = rough[j]
+            keep = np.flatnonzero((r >= np.partition(r, len(r) - self.k)[len(r) - self.k] - 1e-9) & (r > -np.inf))
+            exact = (uv[keep] * uq[j]).sum(1)
+            chosen = top(exact, ids[keep], self.k)
+            self.score[at[j]], self.ids[at[j]] = before[0][j], before[1][j]
+            self._merge(at[j : j + 1], exact[None, chosen], ids[keep][None, chosen])
+
+    def _merge(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        s, i = np.concatenate([self.score[at], score], 1), np.concatenate([self.ids[at], ids], 1)
+        order = np.lexsort((i, -s), axis=1)[:, : self.k]
+        self.score[at], self.ids[at] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+    def frame(self) -> pd.DataFrame:
+        q, j = np.nonzero(self.score > -np.inf)
+        return pd.DataFrame({"query_id": self.queries[q], "vec_id": self.ids[q, j], "score": self.score[q, j]})
 
 
 PARTIAL = "query_id long, vec_id long, score double"
@@ -128,7 +152,9 @@ def _truth(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> DataFra
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                yield best_rows(*asked.value, b["vec_id"].to_numpy(), matrix(b["v"]), k)
+                best = Best(asked.value[0], k)
+                best.add(np.arange(len(asked.value[0])), asked.value[1], b["vec_id"].to_numpy(), units(matrix(b["v"])))
+                yield best.frame()
 
     return merged(rows.select("vec_id", "v").mapInPandas(search, PARTIAL), k)
 
@@ -162,31 +188,55 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
     if not len(trial):
         return spark.createDataFrame([], result)
     ids, q = trial["vec_id"].to_numpy(), matrix(trial["v"])
-    truth = _truth(rows, ids, q, k).join(rows.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()  # CALIBRATE * k rows and their repeats
+    truth = _truth(rows, ids, units(q), k).join(rows.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()  # CALIBRATE * k rows and their repeats
     place = {i: {leaf: n for n, leaf in enumerate(tree.value.order(u, leaves))} for i, u in zip(ids.tolist(), units(q), strict=True)}
     found = np.sort([place[r.query_id][r.leaf] for r in truth])
     visits = int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1 if len(found) else 1
 
+    # shards of about BLOCK rows: several small leaves, or one of the blocks of a leaf with very many rows
+    sizes = {r.leaf: r["count"] for r in rows.groupBy("leaf").count().collect()}  # MOST_LEAVES rows at most
+    first, blocks, shard, filled = np.zeros(leaves, np.int64), np.ones(leaves, np.int64), 0, 0
+    for leaf, count in sorted(sizes.items()):
+        if filled and filled + count > BLOCK:
+            shard, filled = shard + 1, 0
+        first[leaf], blocks[leaf] = shard, -(-count // BLOCK)
+        shard, filled = (shard + int(blocks[leaf]), 0) if count > BLOCK else (shard, filled + count)
+    places = spark.sparkContext.broadcast((first, blocks))
+    shards = F.broadcast(spark.createDataFrame([(i, int(first[i]), int(blocks[i])) for i in range(leaves)], "leaf long, first long, blocks long"))
+    right = rows.join(shards, "leaf").select((F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks"))).alias("shard"), "leaf", "vec_id", "v")
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, blocks = places.value
         for b in batches:
-            if b.num_rows:
-                u = units(matrix(b.to_pandas()["v"]))
-                for at in range(0, len(u), 64):
-                    part = [tree.value.order(x, visits) for x in u[at : at + 64]]
-                    size = [len(p) for p in part]
-                    rows = np.repeat(np.arange(at, at + len(part)), size)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).astype(np.int64)), *(c.take(pa.array(rows)) for c in b.columns)], names=["leaf", "vec_id", "v"])
-
-    # a leaf with very many rows is dealt into blocks; its queries go to each of them
-    sizes = rows.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))  # MOST_LEAVES rows at most
-    sizes = F.broadcast(sizes)
-    right = rows.join(sizes, "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks")).cast("int")).drop("blocks")
-    left = asked.mapInArrow(walk, "leaf long, vec_id long, v array<double>").join(sizes, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+            if not b.num_rows:
+                continue
+            row, shard, asked = [], [], []
+            for i, x in enumerate(units(matrix(b.to_pandas()["v"]))):
+                wanted: dict[int, list[int]] = {}
+                for leaf in tree.value.order(x, visits):
+                    for s in range(first[leaf], first[leaf] + blocks[leaf]):
+                        wanted.setdefault(s, []).append(leaf)
+                row += [i] * len(wanted)
+                shard += wanted.keys()
+                asked += wanted.values()
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(asked, pa.list_(pa.int64())), *(c.take(pa.array(row, pa.int64())) for c in b.columns)], names=["shard", "leaves", "vec_id", "v"])
+
+    left = asked.mapInArrow(walk, "shard long, leaves array<long>, vec_id long, v array<double>")
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return best_rows(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.ones((1, 1)), k)
-        return best_rows(a["vec_id"].to_numpy(), matrix(a["v"]), b["vec_id"].to_numpy(), matrix(b["v"]), k)
-
-    partial = left.groupBy("leaf", "block").cogroup(right.groupBy("leaf", "block")).applyInPandas(search, PARTIAL)
+        best = Best(a["vec_id"].to_numpy(), k)
+        if len(a) and len(b):
+            uq, uv, ids, leaf = units(matrix(a["v"])), units(matrix(b["v"])), b["vec_id"].to_numpy(), b["leaf"].to_numpy()
+            wanted: dict[int, list[int]] = {}
+            for i, x in enumerate(a["leaves"]):
+                for y in x:
+                    wanted.setdefault(int(y), []).append(i)
+            for y, queries in wanted.items():
+                at = np.flatnonzero(leaf == y)
+                for j in range(0, len(queries), 512):
+                    q = np.array(queries[j : j + 512])
+                    best.add(q, uq[q], ids[at], uv[at])
+        return best.frame()
+
+    partial = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(search, PARTIAL)
     return merged(partial, k)
