@@ -183,30 +183,32 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = 120, rate: f
     return model
 
 
-def training_rows(labelled: DataFrame) -> tuple[list[str | None], np.ndarray]:
-    """(doc_id, text, quality): the documents with the least hashes, within both bounds."""
+def training_rows(docs: DataFrame, known: DataFrame) -> tuple[list[str | None], np.ndarray]:
+    """docs (doc_id, text), known (doc_id, quality): the documents with the least hashes, within both bounds. Texts
+    are fetched by a scan with the chosen ids, and not shuffled."""
     at = F.xxhash64("text", F.lit("sample"))
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    chosen = labelled.select("doc_id", "quality", at.alias("at"), lines.alias("lines")).where(F.col("lines") <= TRAIN_LINES // 10).orderBy("at", "doc_id").limit(TRAIN_DOCS).collect()
-    kept, total = [], 0
-    for r in chosen:
+    found = docs.select("doc_id", at.alias("at"), lines.alias("lines")).where(F.col("lines") <= TRAIN_LINES // 10).join(known, "doc_id")
+    kept, total = {}, 0
+    for r in found.orderBy("at", "doc_id").limit(TRAIN_DOCS).collect():
         total += r.lines
         if total > TRAIN_LINES:
             break
-        kept.append((r.doc_id,))
-    ids = F.broadcast(labelled.sparkSession.createDataFrame(kept, "doc_id long"))  # TRAIN_DOCS ids at most
-    rows = labelled.join(ids, "doc_id", "left_semi").orderBy("doc_id", "text").toArrow()
+        kept[r.doc_id] = r.quality
+    ids = F.broadcast(docs.sparkSession.createDataFrame(list(kept.items()), "doc_id long, quality int"))  # TRAIN_DOCS ids at most
+    rows = docs.join(ids, "doc_id").orderBy("doc_id", "text").limit(TRAIN_DOCS).toArrow()
     return rows.column("text").to_pylist(), rows.column("quality").to_numpy()
 
 
-def quality(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, n_lines, good, score, predicted of each row of docs, learned from labelled (doc_id, text, quality).
+def quality(docs: DataFrame, known: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """doc_id, n_lines, good, score, predicted of each row of docs, learned from those in known (doc_id, quality 0/1).
 
     Defined cases: null and empty texts are one empty line and get its score; repeated rows stay; a null doc_id stays
     null; an empty table gives no rows; without labelled rows all weights are 0 and every score is 0.5; other columns
     are not read.
     """
-    texts, labels = training_rows(labelled)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts, labels = training_rows(rows, known)
     model = docs.sparkSession.sparkContext.broadcast(train(texts, labels))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,5 +219,4 @@ def quality(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7) -> Dat
                 good = model.value.good(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([(t or "").count("\n") + 1 for t in texts], pa.int64()), pa.array(good), pa.array(model.value.score(good))], names=["doc_id", "n_lines", "good", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(score, "doc_id long, n_lines long, good double, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -39,8 +39,8 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     held_out = common.crc32_of_id("doc_id") % 4 == 2
-    learn = toxicity.label_rows(docs, common.table(spark, sf_dir, "labels"), "quality").where(~held_out)
-    return quality.quality(docs, learn).select("doc_id", held_out.alias("held_out"), "score", "predicted", "good", "n_lines")
+    known = toxicity.known_labels(common.table(spark, sf_dir, "labels").where(~held_out), "quality")
+    return quality.quality(docs, known).select("doc_id", held_out.alias("held_out"), "score", "predicted", "good", "n_lines")
 
 
 #: Target weights of op8_mixing and of the pipeline; other sources have weight 1.
