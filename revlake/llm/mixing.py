@@ -59,7 +59,8 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int =
     replaced. More than MOST_SOURCES sources, or weights that add up to more than MOST_SLOTS, are refused.
     """
     spark = docs.sparkSession
-    rows = docs.drop("block", "slot", "position").withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    docs = docs.drop("block", "slot", "position")
+    rows = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     rows = rows.withColumn("_at", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     names = [r._source for r in rows.select("_source").distinct().orderBy("_source").limit(MOST_SOURCES + 1).collect()]
     share = [weights.get(n[1:], default) if n else default for n in names]
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int =
     w = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_source", "_bucket", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_base"))
     inner = Window.partitionBy("_source", "_bucket").orderBy("_at", "doc_id")
-    key = F.xxhash64(*[c for c in docs.columns])
+    key = F.xxhash64(*docs.columns)
     numbered = rows.withColumn("_key", key).select("_source", "_bucket", "_at", "doc_id", "_key").withColumn("_row", F.row_number().over(inner.orderBy("_at", "doc_id", "_key"))).join(sums, ["_source", "_bucket"])
     numbered = numbered.withColumn("_rank", F.col("_base") + F.col("_row") - 1).withColumn("block", F.floor(F.col("_rank") / block))
     share_of = F.broadcast(spark.range(1).select(F.inline(literal)).select("_source", "_w").distinct())
@@ -91,6 +92,6 @@ def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int =
     # equal rows are told apart by a number on either side
     again = Window.partitionBy("_key").orderBy("position")
     placed = placed.withColumn("_nth", F.row_number().over(again))
-    own = docs.drop("block", "slot", "position").withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
+    own = docs.withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
     return own.join(placed, ["_key", "_nth"]).drop("_key", "_nth")
 
