@@ -85,7 +85,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, pieces_per_group
     """
     cut = stored(pieces(docs, tokenizer, capacity), "pieces")
     groups = max(1, -(-cut.count() // pieces_per_group))
-    # a serial number from the stored file's layout keeps equal rows apart without a shuffle
     dealt = cut.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start"), F.lit(groups)))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:

@@ -60,7 +60,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
     content = F.sha2(normalised(F.col("text")).cast("binary"), 256)
     rows = Stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), content.alias("content")), "digests")
-    # one row of each digest stands for it: the least id, and for ids that repeat the text is deduplicated once more
+    # one row of each digest stands for it: the one with the least id, whose text is digested again as ids may repeat
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
     stands = rows.df.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(known.select("content"), "content", "left_anti")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
