@@ -142,19 +142,70 @@ class Region:
         return [here[row] for row in near]
 
     def one_by_one(self, here: np.ndarray) -> None:
-        """Every document outside the largest connected part is a pivot for all others."""
-        left = here
-        while len(left) > 1:
-            roots = self.roots(here)
-            names, count = np.unique(roots, return_counts=True)
-            if len(names) == 1:
-                return
-            small = self.roots(left) != names[count.argmax()]
-            if not small.any():
-                return
-            p = int(left[small][0])
-            self.pivot(p, here)
-            left = left[left != p]
+        """The finest regions: pivots of a single shingle. Linked sets share one of their rarest shingles: of `size`
+        shingles, ranked by how many documents here have them, they can differ in all but so many that the first
+        size - least shared + 1 of both meet. Documents outside the largest connected part look at those who meet
+        them there; what is within that part is settled."""
+        size = self.size[here]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(self.begin[here] - (ends - size), size)
+        names, place, count = np.unique(self.flat[at], return_inverse=True, return_counts=True)
+        rank = np.empty(len(names), np.int64)
+        rank[np.lexsort((names, count))] = np.arange(len(names))
+        owner = np.repeat(np.arange(len(here)), size)
+        order = np.lexsort((rank[place], owner))
+        ranked = rank[place][order]
+        first = size + (-(self.num * size) // self.den) + 1  # size - ceil(t * size) + 1
+        nth = np.arange(len(ranked)) - np.repeat(ends - size, size)
+        keep = nth < np.repeat(first, size)
+        heads, head_of = ranked[keep], owner[keep]
+        by = np.argsort(heads, kind="stable")
+        posting, posted = heads[by], head_of[by]
+        low, high = np.searchsorted(posting, heads), np.searchsorted(posting, heads, "right")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(head_of, minlength=len(here)))])
+        starts, marked = ends - size, np.zeros(len(names), bool)
+        label = self.roots(here)  # kept in step with the forest
+
+        def meet(i: int, others: np.ndarray) -> None:
+            """Exact links of the i-th document to others (places in here)."""
+            own = place[starts[i] : ends[i]]
+            marked[own] = True
+            if 4 * len(others) < len(here):
+                each = size[others]
+                upto = np.cumsum(each)
+                hits = marked[place[np.arange(upto[-1]) + np.repeat(starts[others] - (upto - each), each)]]
+                both = np.add.reduceat(hits, upto - each, dtype=np.int64)
+            else:
+                both = np.add.reduceat(marked[place], starts, dtype=np.int64)[others]
+            marked[own] = False
+            linked = others[self.den * both >= self.num * (size[i] + size[others] - both)]
+            for j in linked[label[linked] != label[i]].tolist():
+                if self.forest.join(int(here[i]), int(here[j])):
+                    self.links.append((int(here[i]), int(here[j])))
+            merged = np.unique(np.append(label[linked], label[i]))
+            if len(merged) > 1:
+                label[np.isin(label, merged)] = merged[0]
+
+        everyone = np.arange(len(here))
+        values, members = np.unique(label, return_counts=True)
+        seed = int(np.flatnonzero(label == values[members.argmax()])[0])
+        if len(here) > 500:  # a few of the part's own members first, so that most of it is settled in bulk
+            for i in np.random.default_rng(len(here)).permutation(len(here))[:32].tolist():
+                meet(i, everyone)
+            values, members = np.unique(label, return_counts=True)
+            seed = int(np.flatnonzero(label == values[members.argmax()])[0])
+        for i in everyone.tolist():
+            # whoever is in the seed's part by now is met by the others, in their turn
+            if label[i] == label[seed]:
+                continue
+            mine = slice(cut[i], cut[i + 1])
+            met = [posted[x:y] for x, y in zip(low[mine].tolist(), high[mine].tolist(), strict=True) if y - x > 1]
+            if not met:
+                continue
+            others = np.unique(np.concatenate(met)) if sum(map(len, met)) < len(here) else everyone
+            others = others[(self.num * size[others] <= self.den * size[i]) & (self.num * size[i] <= self.den * size[others]) & (label[others] != label[i])]
+            if len(others):
+                meet(i, others)
 
 
 def sets_of(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
