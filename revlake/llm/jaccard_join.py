@@ -225,6 +225,21 @@ def sets_of(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(cut, "doc_id long, n_shingles long, digest string, keys array<long>")
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id) in order of key to (id, least id of its key), for ids that aren't the least. One row is remembered."""
+    last_key, last_first = None, 0
+    for batch in batches:
+        key, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        if not len(key):
+            continue
+        new = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        first = np.where(at >= 0, ids[np.maximum(at, 0)], last_first)
+        last_key, last_first = key[-1], first[-1]
+        other = ids != first
+        yield pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(first[other])], names=["a", "b"])
+
+
 def _array(column) -> list[np.ndarray]:
     return [np.asarray(x, np.int64).view(np.uint64) for x in column]
 
@@ -317,9 +332,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     heads = stored(made.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")).where("id is not null"), "jaccard-heads")
     # keys of one document of each different set
     stands = made.join(heads, (made["digest"] == heads["digest"]) & (made["doc_id"] == heads["id"])).select("id", "keys").dropDuplicates(["id", "keys"])
-    keyed = stored(stands.select("id", F.explode("keys").alias("key")).distinct(), "jaccard-keys")
-    multi = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key", "lo")
-    near = stored(keyed.join(multi, "key").where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b")).distinct(), "jaccard-near")
+    keyed = stands.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
+    near = stored(keyed.mapInArrow(_neighbours, "a long, b long").distinct(), "jaccard-near")
     members = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     provinces = stored(connected_components(members, near).withColumnRenamed("component", "region"), "jaccard-provinces")
 
