@@ -38,6 +38,8 @@ class Stored:
         self.spark = df.sparkSession
         self.path = scratch(self.spark, label)
         df.write.option("compression", "zstd").parquet(self.path)
+        # the job's shuffle files go when the driver's heap is collected, which a large heap puts off until disks are full
+        self.spark._jvm.System.gc()
         self.df = self.spark.read.parquet(self.path)
 
     def drop(self) -> None:

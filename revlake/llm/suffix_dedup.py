@@ -316,16 +316,20 @@ def _suffixes(rows: DataFrame, size: int) -> DataFrame:
 
 def repeated(docs: DataFrame, size: int = 200, group: int = GROUP) -> DataFrame:
     """(uid, start, stop) of bytes to remove, merged or not. docs: (uid long, equal for equal rows only; text string)."""
-    pieces = stored(_find(docs, size), "suffix-pieces")
-    kinds = pieces.groupBy("key", "digest", "length").agg(F.count("*").alias("n"), F.min(F.struct("uid", "start", "core")).alias("one"))
+    pieces = Stored(_find(docs, size), "suffix-pieces")
+    kinds = pieces.df.groupBy("key", "digest", "length").agg(F.count("*").alias("n"), F.min(F.struct("uid", "start", "core")).alias("one"))
     kinds = Stored(kinds, "suffix-kinds")
     keys = kinds.df.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.min("n").alias("least")).where("all > 1")
     keys = stored(keys, "suffix-keys")
     # equal segments: all their windows repeat
-    same = pieces.join(kinds.df.where("n > 1").select("key", "digest", "length"), ["key", "digest", "length"], "left_semi").select("uid", "start", (F.col("start") + F.col("length")).alias("stop"))
+    same = pieces.df.join(kinds.df.where("n > 1").select("key", "digest", "length"), ["key", "digest", "length"], "left_semi").select("uid", "start", (F.col("start") + F.col("length")).alias("stop"))
+    same = stored(same, "suffix-same")
     mixed = keys.where("kinds > 1 and least = 1").select("key")
     wanted = kinds.df.join(mixed, "key", "left_semi").select("key", "n", "length", "one.*")
-    rows, settled = _collapse(stored(_bodies(docs, wanted, size), "suffix-bodies"))
+    bodies = stored(_bodies(docs, wanted, size), "suffix-bodies")
+    pieces.drop()
+    kinds.drop()
+    rows, settled = _collapse(bodies)
     spans = same.unionByName(settled)
     while True:
         big = rows.groupBy("key").agg(F.count("*").alias("m"), F.max(F.col("core_end") - F.col("core_start")).alias("core")).where((F.col("m") > group) & (F.col("core") < size)).select("key")
