@@ -54,12 +54,13 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) whose lines' sets are at least num / den alike."""
-    sets = texts.select("node", shingle_hashes(F.col("line")).alias("s"))
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb")).alias("m")).where((F.col("n") * den >= num * (F.col("m") - F.col("n")))).select("a", "b")
+    """Those of pairs (a, b) whose lines' sets are at least num / den alike. Sizes sort out most; lines, not their
+    sets, go through the joins."""
+    side = lambda x, *more: texts.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), *(F.col(c).alias(f"{c}{x}") for c in more))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b")
+    both = near.join(side("a", "line"), "a").join(side("b", "line"), "b")
+    shared = F.size(F.array_intersect(shingle_hashes(F.col("linea")), shingle_hashes(F.col("lineb"))))
+    return both.where(once(shared, lambda n: n * (num + den) >= (F.col("na") + F.col("nb")) * num)).select("a", "b")
 
 
 def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +77,7 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[Dat
     wanted = banded.select("node").distinct().join(nodes.select("node", "at"), "node")
     by_doc = wanted.groupBy("at.uid").agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "node")).alias("asked"))
     found = docs.dropDuplicates(["uid"]).join(by_doc, "uid").select(F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("all"), F.explode("asked").alias("x"))
-    texts = stored(found.select("x.node", normalised(F.get("all", F.col("x.line_no"))).alias("line")), "line-texts")
+    texts = stored(found.select("x.node", normalised(F.get("all", F.col("x.line_no"))).alias("line")).withColumn("n", F.size(shingle_hashes(F.col("line")))), "line-texts")
     star = banded.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     links = stored(_verified(star, texts, num, den), "line-links")
     first = stored(connected_components(texts.select(F.col("node").alias("id")), links).select(F.col("id").alias("node"), "component"), "line-components")
