@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 @cache
@@ -69,3 +71,13 @@ def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = 2_000_000):
+    """The batch in parts of at most `most` bytes of text, or one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm.common import connected_components, stored
-from revlake.llm.hashing import mixed, shingles
+from revlake.llm.hashing import mixed, shingles, slices
 
 RANGE = 1.5
 PIVOTS, SMALL, PROVINCE = 8, 48, 20_000
@@ -213,8 +213,7 @@ def sets_of(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 400):
-                part = batch.slice(k, 400)
+            for part in slices(batch, 1):
                 sets = shingles(part.column(1).to_pylist(), words)
                 made = [keys(s, num, den).view(np.int64) for s in sets]
                 digests = [f"{int(s.sum(dtype=np.uint64)):016x}{int(np.bitwise_xor.reduce(mixed(s * C), initial=np.uint64(0))):016x}{len(s):x}" for s in sets]
@@ -339,10 +338,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = shingles(batch.column(2).to_pylist(), words)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["region", "id", "shingles"])
+            for part in slices(batch, 2):
+                sets = shingles(part.column(2).to_pylist(), words)
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["region", "id", "shingles"])
 
     rows = docs.join(provinces, docs["doc_id"] == provinces["id"]).select("region", "id", "text").mapInArrow(cut, "region long, id long, shingles array<long>")
     found = stored(links(stored(rows.where(F.size("shingles") > 0), "jaccard-rows"), num, den, province), "jaccard-links")
