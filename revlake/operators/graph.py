@@ -22,6 +22,16 @@ def closure(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame
     raise RecursionError(f"more than {most} rounds")
 
 
+def lineage(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, depth) along predecessor chains of at most 100 links, as one recursive query; longer ones, and graphs with
+    cycles, take closure()."""
+    sql = """WITH RECURSIVE up(node, depth) AS (
+        SELECT node, 0 FROM {roots}
+        UNION ALL SELECT edge.parent, up.depth + 1 FROM {edges} edge JOIN up ON edge.child = up.node WHERE edge.parent IS NOT NULL)
+        SELECT node, depth FROM up"""
+    return edges.sparkSession.sql(sql, edges=edges, roots=roots)
+
+
 def unreachable(nodes: DataFrame, seen: DataFrame) -> DataFrame:
     """Orphans and members of cycles."""
     return nodes.join(seen, "node", "left_anti")

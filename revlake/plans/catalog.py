@@ -387,7 +387,7 @@ def candidate_keys(t):
 def publication_lineage(t):
     edges = t.orders.select(F.col("o_orderkey").alias("child"), F.when(F.col("o_orderkey") % 40 != 0, F.col("o_orderkey") - 1).alias("parent"))
     known = t.orders.select(F.col("o_orderkey").alias("node"))
-    found = graph.closure(edges, known.where("node = 39"))
+    found = graph.lineage(edges, known.where("node = 39"))
     return found.join(known, "node", "left_semi").select(F.col("node").alias("publication"), "depth")
 
 
