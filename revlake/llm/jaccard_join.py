@@ -27,7 +27,7 @@ from revlake.llm.common import connected_components, stored
 from revlake.llm.hashing import mixed, shingles, slices
 
 RANGE = 1.5
-PIVOTS, SMALL, PROVINCE = 8, 48, 20_000
+PIVOTS, SMALL, PROVINCE = 8, 48, 5_000
 A, B, C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
