@@ -8,15 +8,16 @@ document does not outweigh others. The evidence is the difference of the two log
 of RUN words where it is largest, so one insult in a very long text weighs as much as in a short one. A logistic fit on
 labelled rows that no count came from turns it into a score.
 
-Counts cover all labelled rows that may be learned from and stay distributed; what is broadcast are the log-ratios in
-two arrays of SLOTS places, whatever the input's size.
+Counts cover all labelled rows that may be learned from and stay distributed under their exact keys, however many there
+are. Each distinct word of the texts is scored once, by joins of its (context, character) pairs with the counts' tables.
+Values of the HEAD most frequent words are broadcast; runs of words with others among them get their values by a join.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,13 @@ from pyspark.sql import functions as F
 
 from revlake.llm.common import stored
 
-CONTEXT, LOWER, DISCOUNT, SLOTS = 5, 4, 0.75, 1 << 21
+CONTEXT, LOWER, DISCOUNT = 5, 4, 0.75
 #: The top order's discount is this share of the smaller class's documents, within these bounds.
 CLASS_DISCOUNT = (0.05, 1.0, 12.0)
 RUN, LEAST = 3, 15
 WORD = re.compile(r"\w+")
-FLUSH, REMEMBERED = 500_000, 600_000
+#: Words are valued in whole units of 1 / UNIT, so that sums do not depend on their order.
+FLUSH, HEAD, UNIT, SLICES = 500_000, 300_000, 1 << 32, 4
 LONGEST = 64
 BINS, CLIP = 4000, 20000
 
@@ -71,10 +73,6 @@ def parts(word: str) -> list[tuple[str, str]]:
     return out
 
 
-def slot(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & (SLOTS - 1)
-
-
 def ratios(counts: DataFrame, class_discount: float) -> tuple[DataFrame, DataFrame]:
     """Log-ratio toxic to ordinary of each (context, character) that was seen, and of what each context leaves over."""
 
@@ -107,67 +105,97 @@ def ratios(counts: DataFrame, class_discount: float) -> tuple[DataFrame, DataFra
     rest = [F.when(F.col(f"all{i}") > 0, F.col(f"rest{i}") / F.col(f"all{i}")).otherwise(1.0).alias(f"rest{i}") for i in (0, 1)]
     contexts = stored(scaled.groupBy("context").agg(*sums).select("context", "all0", "all1", *rest), "kn-contexts")
     p = [F.when(F.col(f"all{i}") > 0, F.greatest(F.col(f"n{i}") - strong, F.lit(0.0)) / F.col(f"all{i}")).otherwise(0.0) + F.col(f"rest{i}") * F.col("shared") for i in (0, 1)]
-    seen = scaled.withColumn("low", low).join(contexts, "context").join(shared, ["low", "next"]).select(F.concat("context", F.lit(" "), "next").alias("key"), (F.col("n0") + F.col("n1")).alias("weight"), F.log(p[1] / p[0]).alias("ratio"))
-    left = contexts.select(F.col("context").alias("key"), (F.col("all0") + F.col("all1")).alias("weight"), F.log(F.col("rest1") / F.col("rest0")).alias("ratio"))
-    return seen, left
+    seen = scaled.withColumn("low", low).join(contexts, "context").join(shared, ["low", "next"]).select("context", "next", F.log(p[1] / p[0]).alias("ratio"))
+    left = contexts.select("context", F.log(F.col("rest1") / F.col("rest0")).alias("rest"))
+    return stored(seen, "kn-seen"), stored(left, "kn-left")
 
 
-def table_of(rows: DataFrame) -> np.ndarray:
-    """At most SLOTS floats; where keys meet in a slot, the ratio of the heaviest stays."""
-    place = F.crc32(F.col("key").cast("binary")).bitwiseAND(SLOTS - 1)
-    got = rows.groupBy(place.cast("int").alias("slot")).agg(F.max_by("ratio", F.struct("weight", "key")).cast("float").alias("ratio")).toArrow()
-    out = np.full(SLOTS, np.nan, np.float32)
-    out[got.column("slot").to_numpy()] = got.column("ratio").to_numpy()
-    return out
+def words_of(texts: DataFrame) -> DataFrame:
+    """(text) to (word, n): the distinct words, with the number of texts that each occurs in."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, int] = {}
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), pa.array(sums.values(), pa.int64())], names=["word", "n"])
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for w in set(WORD.findall((text or "").lower())):
+                    sums[w] = sums.get(w, 0) + 1
+                if len(sums) > FLUSH:
+                    yield rows()
+                    sums.clear()
+        yield rows()
+
+    return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
+def word_values(words: DataFrame, seen: DataFrame, left: DataFrame) -> DataFrame:
+    """(word, n) to (word, n, value): the log-likelihood difference in units. A pair that was not seen has what its
+    context leaves over, one of an unknown context 0."""
 
-class Evidence:
-    """Log-likelihood difference of texts, word by word; a word's is remembered."""
-
-    def __init__(self, seen: np.ndarray, left: np.ndarray):
-        self.seen, self.left, self.known = seen, left, {}
-
-    def word(self, w: str) -> float:
-        total = 0.0
-        for context, char in parts(w):
-            x = self.seen[slot(f"{context} {char}")]
-            if x != x:
-                x = self.left[slot(context)]
-            if x == x:
-                total += float(x)
-        return total
-
-    def __call__(self, text: str | None) -> float:
-        """Per character, of the run of RUN words (or of all words, if fewer) where it is largest; 0 without words."""
-        known, values, sizes = self.known, [], []
-        for w in WORD.findall((text or "").lower()):
-            x = known.get(w)
-            if x is None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                known[w] = x = self.word(w)
-            values.append(x)
-            sizes.append(len(w) + 1)
-        if not values:
-            return 0.0
-        sums, lengths = (np.concatenate([[0.0], np.cumsum(v)]) for v in (values, sizes))
-        k = min(RUN, len(values))
-        return float(((sums[k:] - sums[:-k]) / np.maximum(lengths[k:] - lengths[:-k], LEAST)).max())
-
-
-def score_all(texts: DataFrame, seen: np.ndarray, left: np.ndarray) -> DataFrame:
-    """Adds evidence to (…, text) and drops text."""
-    model = texts.sparkSession.sparkContext.broadcast((seen, left))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, contexts, chars = [], [], []
+            for i, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for context, char in parts(w):
+                    ids.append(i)
+                    contexts.append(context)
+                    chars.append(char)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(contexts, pa.string()), pa.array(chars, pa.string())], names=["_id", "context", "next"])
+
+    words = stored(words.withColumn("_id", F.monotonically_increasing_id()), "kn-words")  # ids are final once stored
+    sums = []
+    for k in range(SLICES):  # the shuffle files of one slice go before the next one's are written
+        grams = words.where(F.pmod(F.xxhash64("_id"), F.lit(SLICES)) == k).select("_id", "word").mapInArrow(cut, "_id long, context string, next string")
+        valued = grams.join(left.hint("merge"), "context").join(seen.hint("merge"), ["context", "next"], "left")
+        units = F.round(F.coalesce("ratio", "rest", F.lit(0.0)) * UNIT).cast("long")
+        sums.append(stored(valued.groupBy("_id").agg(F.sum(units).alias("value")), "kn-sums"))
+    return words.join(reduce(DataFrame.unionByName, sums), "_id", "left").select("word", "n", F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def runs(text: str | None, known: dict[str, int]) -> tuple[float | None, list[dict], list[str]]:
+    """The largest evidence of runs of RUN words (of all words, if fewer) that are known; of the other runs the known
+    words' sum, the length, and where the other words are in the last list. 0 without words."""
+    words = WORD.findall((text or "").lower())
+    if not words:
+        return 0.0, [], []
+    k = min(RUN, len(words))
+    others: dict[str, int] = {}
+    values, at = [], []
+    for w in words:
+        x = known.get(w)
+        values.append(x or 0)
+        at.append(-1 if x is not None else others.setdefault(w, len(others)))
+    unknown, sums, lengths = (np.concatenate([[0], np.cumsum(x)]) for x in (np.array(at) >= 0, np.array(values, np.int64), [len(w) + 1 for w in words]))
+    unknown, sums, lengths = (x[k:] - x[:-k] for x in (unknown, sums, lengths))
+    lengths, sure = np.maximum(lengths, LEAST), unknown == 0
+    best = float((sums[sure] / lengths[sure]).max() / UNIT) if sure.any() else None
+    rest = {(int(sums[i]), int(lengths[i]), tuple(x for x in at[i : i + k] if x >= 0)) for i in np.flatnonzero(~sure).tolist()}
+    return best, [{"sum": a, "length": b, "at": list(c)} for a, b, c in sorted(rest)], list(others)
+
+
+def score_all(texts: DataFrame, values: DataFrame, model) -> DataFrame:
+    """Adds evidence to (…, text) and drops text. values are those of all words, model of the most frequent ones."""
     keep = [c for c in texts.columns if c != "text"]
+    run = pa.struct([("sum", pa.int64()), ("length", pa.int64()), ("at", pa.list_(pa.int32()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = Evidence(*model.value)
+        known = model.value
         for batch in batches:
-            values = pa.array([evidence(t) for t in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), values], names=[*keep, "evidence"])
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema if f.name in keep)
-    return texts.mapInArrow(score, f"{fields}, evidence double")
+            got = [runs(t, known) for t in batch.column("text").to_pylist()]
+            found = [pa.array([x[i] for x in got], t) for i, t in enumerate((pa.float64(), pa.list_(run), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], names=[*keep, "evidence", "_rest", "_words"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keep).schema)
+    first = texts.mapInArrow(score, f"{fields}, evidence double, _rest array<struct<sum: bigint, length: bigint, at: array<int>>>, _words array<string>")
+    first = stored(first.withColumn("_id", F.monotonically_increasing_id()), "kn-runs")  # ids are final once stored
+    done, late = (first.where(F.size("_rest") == 0), first.where(F.size("_rest") > 0))
+    # rare words only, so no key is hot
+    asked = late.select("_id", F.posexplode("_words").alias("_at", "word")).join(values.select("word", "value").hint("merge"), "word")
+    answers = asked.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_at", "value"))).alias("_values"))
+    summed = lambda r: F.aggregate(r["at"], r["sum"], lambda a, i: a + F.get("_values", i)["value"]) / r["length"]
+    largest = answers.join(late.select("_id", "_rest").hint("merge"), "_id").select("_id", (F.array_max(F.transform("_rest", summed)) / UNIT).alias("_largest"))
+    late = late.drop("_rest", "_words").join(largest.hint("merge"), "_id").withColumn("evidence", F.greatest("evidence", "_largest"))
+    return done.select(*keep, "evidence").unionByName(late.select(*keep, "evidence"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -207,15 +235,19 @@ def label_rows(docs: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known_labels(labels, name), "doc_id")
 
 
-def fit(labelled: DataFrame):
-    """(doc_id, text, toxic) to the two arrays and the calibration. A fourth of the rows, by a hash of the text,
-    calibrate and are not counted."""
+def fit(labelled: DataFrame, texts: DataFrame, head: int = HEAD):
+    """(doc_id, text, toxic) to the values of all words of texts, those of the most frequent ones as a broadcast, and
+    the calibration. A fourth of the rows, by a hash of the text, calibrate and are not counted."""
     aside = F.pmod(F.xxhash64("text", F.lit("calibration")), F.lit(4)) == 0
     counts = word_counts(labelled.where(~aside).select("text", "toxic"))
     sizes = [r["count"] for r in labelled.where(~aside).groupBy("toxic").count().collect()]
     share, low, high = CLASS_DISCOUNT
-    seen, left = map(table_of, ratios(counts, max(low, min(high, share * min(sizes, default=0)))))
-    return seen, left, calibrated(score_all(labelled.where(aside).select("toxic", "text"), seen, left))
+    seen, left = ratios(counts, max(low, min(high, share * min(sizes, default=0))))
+    words = words_of(texts.select("text").unionByName(labelled.where(aside).select("text")))
+    values = stored(word_values(words, seen, left), "kn-values")
+    top = values.orderBy(F.desc("n"), "word").limit(head).select("word", "value").toArrow()
+    model = texts.sparkSession.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
+    return values, model, calibrated(score_all(labelled.where(aside).select("toxic", "text"), values, model))
 
 
 def toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -225,8 +257,9 @@ def toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7) -> Da
     stays null; an empty table gives no rows; without labelled rows of both classes every score is the one class's (or
     0.5 without any); other columns are not read.
     """
-    seen, left, (slope, shift) = fit(labelled)
-    scored = score_all(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), seen, left)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    values, model, (slope, shift) = fit(labelled, named)
+    scored = score_all(named, values, model)
     score = 1 / (1 + F.exp(-(F.col("evidence") * slope + shift)))
     return scored.select("doc_id", "evidence", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -234,8 +267,8 @@ def toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7) -> Da
 def reject(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, that are not toxic. Null and empty texts stay, as their evidence is 0
     and ordinary documents are the rule; columns may have any names but `evidence`, which is replaced."""
-    seen, left, (slope, shift) = fit(labelled)
     named = docs.select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
-    scored = score_all(named, seen, left)
+    values, model, (slope, shift) = fit(labelled, named)
+    scored = score_all(named, values, model)
     score = 1 / (1 + F.exp(-(F.col("evidence") * slope + shift)))
     return scored.where(score < threshold).select("row.*")

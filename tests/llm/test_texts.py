@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers
-from revlake.llm import fasttokens, jaccard_join, line_dedup, mixing, packing, quality, suffix_dedup, token_counts, toxicity
+from revlake.llm import common, fasttokens, jaccard_join, line_dedup, mixing, packing, quality, suffix_dedup, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, source string, component_id string, n_lines string, position string"
 
@@ -231,6 +231,32 @@ def test_models_on_empty_and_odd_texts(docs, texts, spark):
     assert toxicity.reject(bad, bad).count() == 300
 
 
+@pytest.mark.parametrize("head", [0, 50, toxicity.HEAD])
+def test_evidence_uses_exact_keys_whatever_is_broadcast(spark, head):
+    rng = random.Random(3)
+    # so many distinct pairs that arrays of 2**21 places would mix thousands of them up
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(3, 9)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(1, 25))), i % 2) for i in range(3000)]
+    odd = [(-1, None), (-2, ""), (-3, "..."), (-4, "one"), (-5, rows[0][1]), (-5, rows[0][1]), (None, "ab " + rows[1][1])]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs = spark.createDataFrame([r[:2] for r in rows[:300]] + odd, "doc_id long, text string")
+    seen, left = toxicity.ratios(toxicity.word_counts(labelled.select("text", "toxic")), 1.0)
+    values = common.stored(toxicity.word_values(toxicity.words_of(docs), seen, left), "test-values")
+    top = {r.word: r.value for r in values.orderBy("n", "word").limit(head).collect()}
+    got = toxicity.score_all(docs, values, spark.sparkContext.broadcast(top)).collect()
+    seen, left = {(r.context, r.next): r.ratio for r in seen.collect()}, {r.context: r.rest for r in left.collect()}
+
+    def evidence(text):
+        w = re.findall(r"\w+", (text or "").lower())
+        each = [sum(seen.get(p, left.get(p[0], 0.0)) for p in toxicity.parts(x)) for x in w]
+        k = min(toxicity.RUN, len(w))
+        return max((sum(each[i : i + k]) / max(toxicity.LEAST, sum(len(x) + 1 for x in w[i : i + k])) for i in range(len(w) - k + 1)), default=0.0) if w else 0.0
+
+    want = sorted((i if i is not None else -9, evidence(t)) for i, t in [r[:2] for r in rows[:300]] + odd)
+    got = sorted((r.doc_id if r.doc_id is not None else -9, r.evidence) for r in got)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-7)
+
+
 def test_forward_backward_against_all_labellings():
     rng = np.random.default_rng(5)
     import itertools
