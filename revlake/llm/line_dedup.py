@@ -1,8 +1,9 @@
 """Fuzzy line de-duplication, in DataFrame functions only.
 
 A line's set are the distinct SHINGLE-byte shingles of its normalised form. Equal lines become one node first. A node's
-signature are the SIGNATURE smallest hashes of its shingles that begin with a word; each two neighbours in it are a band. Two sets of similarity 0.8
-have no band in common once in about 500 times, and more similar ones far more rarely. Nodes of a band are verified
+signature are the SIGNATURE smallest hashes of all its shingles; each two neighbours in it are a band. Two sets of
+similarity 0.8 have no band in common once in about 500 times, more similar ones far more rarely, and sets of at most
+SIGNATURE shingles never. Nodes of a band are verified
 exactly: first everyone against the band's least node, then, after a distributed union-find, every pair of the band
 that lies in different components still; pairs within one are settled. So a band of many variants of one line costs
 its size, and no candidate goes unverified. Of each component the first occurrence stays.
@@ -34,12 +35,6 @@ def shingle_hashes(line: Column) -> Column:
     return F.array_distinct(once(line.cast("binary"), every))
 
 
-def leading_hashes(line: Column) -> Column:
-    """Hashes of the shingles that begin with a word, about one in six of all; of all shingles where words are long."""
-    ahead = lambda w: F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda x, y: F.xxhash64(F.substring(F.concat(x, F.lit(" "), F.coalesce(y, F.lit(""))), 1, SHINGLE)))
-    return F.when(F.octet_length(line) > 20 * (F.size(F.split(line, " ")) + 1), shingle_hashes(line)).otherwise(F.array_distinct(once(F.split(line, " "), ahead)))
-
-
 def bands(hashes: Column) -> Column:
     """Of a set with one shingle the band is that shingle."""
     smallest = F.slice(F.sort_array(hashes), 1, SIGNATURE)
@@ -69,7 +64,7 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> tuple[Dat
     node = F.xxhash64("line").alias("node")
     occurrences = stored(lines.select("doc_id", "uid", "line_no", node), "line-occurrences")
     at = F.struct("doc_id", "uid", "line_no")
-    nodes = stored(lines.select(node, at.alias("at"), bands(leading_hashes(F.col("line"))).alias("bands")).groupBy("node").agg(F.min("at").alias("at"), F.first("bands").alias("bands")), "line-nodes")
+    nodes = stored(lines.select(node, at.alias("at"), bands(shingle_hashes(F.col("line"))).alias("bands")).groupBy("node").agg(F.min("at").alias("at"), F.first("bands").alias("bands")), "line-nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
     banded = stored(banded.join(shared.select("band", "least"), "band"), "line-bands")

@@ -118,6 +118,27 @@ def test_line_dedup(docs, texts, spark):
     assert line_dedup.dedup_lines(docs).count() == len(texts)
 
 
+def test_line_dedup_finds_short_lines(spark):
+    """Dated, numbered and one-word lines, whose links brute force knows."""
+    rng = random.Random(11)
+    lines = ["2023-01-01 12:34:56", "2023-01-01 12:34:57"]
+    for k in range(40):
+        lines += [f"20{rng.randint(10, 99)}-0{k % 9 + 1}-1{k % 10} {rng.randint(10, 99)}:{rng.randint(10, 99)}:{x}" for x in rng.sample(range(10, 60), 2)]
+        host = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40))
+        lines += ["a" + host, "b" + host, f"{k}7 " + host[:20] + " " + host[20:], f"{k}8 " + host[:20] + " " + host[20:]]
+    sets = [{x[j : j + 8] for j in range(len(x) - 7)} for x in lines]
+    p = Parts()
+    for i, x in enumerate(sets):
+        p.root(i)
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                p.join(i, j)
+    want = {i for i in range(len(lines)) if p.root(i) != i}
+    assert 1 in want and len(want) > 60
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_removed = 1")
+    assert {r.doc_id for r in got.collect()} == want
+
+
 def test_suffix_columns():
     rng = random.Random(2)
     import tempfile
