@@ -1,5 +1,7 @@
 """Each stage against what its operator decides, on the smallest table."""
 
+import collections
+
 import corpus_pipeline
 from revlake.llm import common, jaccard_join
 
@@ -20,3 +22,21 @@ def test_stages(spark):
         if name == "mixing":
             assert sorted(r.doc_id for r in docs.collect()) == sorted(r.doc_id for r in before.collect())
     assert docs.where("length < 1 or length > 2048").count() == 0 and docs.count() > 0
+
+
+def test_packed_sequences_follow_the_mixture(spark):
+    # 4 to 1 by weight, 1 to 1 by documents; one document of many pieces
+    sources = {i: ("src0", "x")[i % 2] for i in range(8000)}
+    rows = [(i, f"short text {i}", s) for i, s in sources.items()] + [(8000, "long " * 9000, "src0"), (1, "short text 1", "x"), (None, None, None)]
+    packed = corpus_pipeline.packing_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), DATA).collect()
+    assert collections.Counter(r.doc_id for r in packed if r.start == 0) == collections.Counter(i for i, _, _ in rows)
+    assert all(r.offset + r.length <= 2048 for r in packed)
+    spans = sorted((r.sequence_id, r.offset, r.length) for r in packed)
+    assert all(a[0] < b[0] or a[1] + a[2] <= b[1] for a, b in zip(spans, spans[1:], strict=False))
+    groups = collections.defaultdict(collections.Counter)
+    for r in packed:
+        groups[r.sequence_id >> 32][sources.get(r.doc_id)] += 1
+    assert sorted(groups) == list(range(-(-len(packed) // 1024)))
+    for g in range(4):  # until the 4,000 documents of src0 are used up
+        n = groups[g]["src0"] + groups[g]["x"]
+        assert abs(groups[g]["src0"] - n * 0.8) <= 128
