@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local one only where it is unset and the
+    executors are on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="revlake-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,18 +37,38 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextlib.contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run meanwhile go as soon as it has ended: its result is a table, which nothing has to
+    be worked out again for."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 class Stored:
-    """A table written to the shared folder: its lineage ends there, so a lost executor costs one read."""
+    """A table written to the shared folder: its lineage ends there, so a lost executor costs one read. drop() once the
+    last reader has run; what a lazy result still reads stays until sweep()."""
+
+    left: ClassVar[dict[str, SparkSession]] = {}
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = scratch(self.spark, label)
-        df.write.option("compression", "zstd").parquet(self.path)
-        # the job's shuffle files go when the driver's heap is collected, which a large heap puts off until disks are full
-        self.spark._jvm.System.gc()
-        self.df = self.spark.read.parquet(self.path)
+        with shuffles_let_go(self.spark):
+            df.write.option("compression", "zstd").parquet(self.path)
+        self.left[self.path] = self.spark
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
+        self.left.pop(self.path, None)
         drop(self.spark, self.path)
 
 
@@ -50,6 +76,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
 
 
+def sweep(spark: SparkSession, *keep: Stored) -> None:
+    """Drops all scratch tables of this session but those to keep. For callers who know that every result that reads
+    them has been written, such as the stages of a pipeline whose results are Parquet."""
+    for path, owner in list(Stored.left.items()):
+        if owner is spark and path not in {k.path for k in keep}:
+            Stored.left.pop(path)
+            drop(spark, path)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """All columns of a row as the one column `row`, whose names then clash with nothing that is put beside it."""
+    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"))
+
+
+def unpacked(rows: DataFrame, **replaced: Column) -> list[Column]:
+    """The columns that packed() took in, some of them replaced; new ones come last."""
+    names = rows.schema["row"].dataType.names
+    own = [replaced.get(c, F.col("row").getField(c)).alias(c) for c in names]
+    return own + [v.alias(c) for c, v in replaced.items() if c not in names]
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distributed union-find. nodes (id long), edges (a long, b long, in any direction, repeats allowed) to
     (id, component): the smallest id that can be reached. Nodes without edges are their own component.
