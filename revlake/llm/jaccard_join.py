@@ -8,9 +8,11 @@ could be in it). Documents connected by shared keys form a province; links never
 
 Within a province pivots create Voronoi regions: every document goes to its nearest pivot's region and, by the
 triangle inequality, also to those of pivots at most 2r farther (r: the largest distance of a link). Regions are joined
-recursively with new pivots; distances to pivots are exact, so links to pivots fall out on the way, and a region whose
-documents are connected already is settled. Provinces above PROVINCE documents go through the same step as distributed
-rounds, and a region that its pivots cannot part is dealt into pairs of blocks, so a task's memory stays bounded.
+recursively with new pivots, down to regions whose documents have all been pivots or are connected already. Distances to
+pivots are exact, so the links fall out on the way. Regions of over LEAF documents that pivots cannot part (nearly all
+of them lie within the windows of one another) are taken apart by their rarest shingles instead. Provinces with more
+than `province` documents or `volume` shingles go through the same step as distributed rounds that move ids, and a
+region that its pivots cannot part is dealt into pairs of blocks, so what a task holds is bounded in documents and bytes.
 """
 
 from __future__ import annotations
@@ -18,16 +20,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revlake.llm.common import connected_components, stored
+from revlake.llm.common import Stored, connected_components, stored
 from revlake.llm.hashing import mixed, shingles, slices
 
 RANGE = 1.5
-PIVOTS, SMALL, PROVINCE = 8, 48, 5_000
+PIVOTS, LEAF, PROVINCE, VOLUME = 8, 256, 5_000, 2_000_000
 A, B, C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -49,7 +50,7 @@ def keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
     out = []
     x, y = mixed(s * A), mixed(s * B)
     for i in size_ranges(len(s), num, den) if len(s) else ():
-        differ, m = classes(int(RANGE ** (i + 2)), num, den)
+        differ, m = classes(int(RANGE ** (i + 1)), num, den)  # the larger set of a pair lies in its own range, below that
         c = ((x >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         order = np.argsort(c, kind="stable")
         c = c[order]
@@ -80,14 +81,13 @@ class Forest:
 
 
 class Region:
-    """Exact links among sets, enough to connect all that links connect."""
+    """Exact links among sets, enough to connect all that links connect. by: how many came from pivots, and how many from
+    rare shingles."""
 
-    def __init__(self, sets: list[np.ndarray], num: int, den: int):
-        self.sets, self.num, self.den = sets, num, den
-        self.size = np.array([len(s) for s in sets], np.int64)
-        self.forest, self.links = Forest(len(sets)), []
-        self.flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        self.begin = np.cumsum(self.size) - self.size
+    def __init__(self, flat: np.ndarray, size: np.ndarray, num: int, den: int):
+        self.flat, self.size, self.num, self.den = flat, size, num, den
+        self.forest, self.links, self.by = Forest(len(size)), [], {"pivots": 0, "shingles": 0}
+        self.begin = np.cumsum(size) - size
 
     def shared(self, p: int, among: np.ndarray) -> np.ndarray:
         """Exact intersection sizes of set p with others."""
@@ -96,7 +96,9 @@ class Region:
         if not len(ends) or not ends[-1]:
             return np.zeros(len(among), np.int64)
         at = np.arange(ends[-1]) + np.repeat(self.begin[among] - (ends - size), size)
-        own, x = self.sets[p], self.flat[at]
+        own, x = self.flat[self.begin[p] : self.begin[p] + self.size[p]], self.flat[at]
+        if not len(own):
+            return np.zeros(len(among), np.int64)
         place = np.minimum(np.searchsorted(own, x), len(own) - 1)
         sums = np.concatenate([[0], np.cumsum(own[place] == x)])
         return sums[ends] - sums[ends - size]
@@ -106,30 +108,36 @@ class Region:
         both = self.shared(p, among)
         union = self.size[among] + self.size[p] - both
         for j in among[(self.den * both >= self.num * union) & (among != p)].tolist():
-            if self.forest.join(p, j):
-                self.links.append((p, j))
+            self.join(p, j, "pivots")
         return 1 - both / np.maximum(union, 1)
 
+    def join(self, i: int, j: int, by: str) -> None:
+        if self.forest.join(i, j):
+            self.links.append((i, j))
+            self.by[by] += 1
+
     def roots(self, among: np.ndarray) -> np.ndarray:
         return np.fromiter((self.forest.root(i) for i in among.tolist()), np.int64, len(among))
 
-    def solve(self, among: np.ndarray | None = None) -> list[tuple[int, int]]:
-        todo = [np.arange(len(self.sets)) if among is None else among]
+    def solve(self) -> list[tuple[int, int]]:
+        todo = [np.arange(len(self.size))]
         while todo:
             here = todo.pop()
             roots = self.roots(here)
             if len(here) < 2 or (roots == roots[0]).all():
                 continue
-            if len(here) > SMALL:
-                cells = self.cells(here)
-                if max(map(len, cells), default=0) <= 0.8 * len(here):
-                    todo += cells
-                    continue
-            self.one_by_one(here)
+            chosen, cells = self.cells(here)
+            if sum(len(c) ** 2 for c in cells) <= 0.8 * len(here) ** 2:
+                todo += cells
+            elif len(here) <= LEAF:  # the pivots' links are known, the others take their turn as pivots
+                todo.append(here[~np.isin(here, chosen)])
+            else:
+                self.one_by_one(here)
         return self.links
 
-    def cells(self, here: np.ndarray) -> list[np.ndarray]:
-        """Voronoi regions of pivots that lie far from each other, with the documents near their borders."""
+    def cells(self, here: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+        """Pivots that lie far from each other, and their Voronoi regions with the documents near the borders, without
+        the pivots themselves, whose links are found by then."""
         chosen, columns = [int(here[0])], []
         while True:
             columns.append(self.pivot(chosen[-1], here))
@@ -138,8 +146,8 @@ class Region:
                 break
             chosen.append(int(here[least.argmax()]))
         d = np.array(columns)
-        near = d <= d.min(0) + 2 * (1 - self.num / self.den) + 1e-9
-        return [here[row] for row in near]
+        near = (d <= d.min(0) + 2 * (1 - self.num / self.den) + 1e-9) & ~np.isin(here, chosen)
+        return chosen, [here[row] for row in near]
 
     def one_by_one(self, here: np.ndarray) -> None:
         """The finest regions: pivots of a single shingle. Linked sets share one of their rarest shingles: of `size`
@@ -180,8 +188,7 @@ class Region:
             marked[own] = False
             linked = others[self.den * both >= self.num * (size[i] + size[others] - both)]
             for j in linked[label[linked] != label[i]].tolist():
-                if self.forest.join(int(here[i]), int(here[j])):
-                    self.links.append((int(here[i]), int(here[j])))
+                self.join(int(here[i]), int(here[j]), "shingles")
             merged = np.unique(np.append(label[linked], label[i]))
             if len(merged) > 1:
                 label[np.isin(label, merged)] = merged[0]
@@ -224,101 +231,116 @@ def sets_of(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(cut, "doc_id long, n_shingles long, digest string, keys array<long>")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) in order of key to (id, least id of its key), for ids that aren't the least. One row is remembered."""
-    last_key, last_first = None, 0
-    for batch in batches:
-        key, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(key):
-            continue
-        new = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        first = np.where(at >= 0, ids[np.maximum(at, 0)], last_first)
-        last_key, last_first = key[-1], first[-1]
-        other = ids != first
-        yield pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(first[other])], names=["a", "b"])
-
-
-def _array(column) -> list[np.ndarray]:
-    return [np.asarray(x, np.int64).view(np.uint64) for x in column]
-
-
-def _voronoi(rows: DataFrame, num: int, den: int, level: int, province: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One distributed round. rows (region, id, shingles): links to the regions' pivots, the rows of the new regions, and
-    those of regions that the pivots could not part, dealt into pairs of blocks."""
-    dealt = rows.withColumn("at", F.xxhash64("id", "shingles", F.lit(level)))
-    ones = dealt.groupBy("region", F.pmod("at", F.lit(PIVOTS)).alias("nth")).agg(F.min_by(F.struct("id", "shingles"), "at").alias("pivot"), F.count("*").alias("m"))
-    first = stored(ones.groupBy("region").agg(F.collect_list("pivot").alias("pivots"), F.sum("m").alias("m")), "jaccard-pivots")
-    salted = dealt.join(first.select("region", F.ceil(F.col("m") / province).cast("int").alias("parts")), "region").withColumn("part", F.pmod("at", F.col("parts")).cast("int")).select("region", "part", "id", "shingles")
-    lead = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / province).cast("int") - 1))).select("region", "part", "pivots")
-
-    def measure(key, p: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        pivots = p["pivots"].iloc[0] if len(p) else []
-        sets = _array(docs["shingles"])
-        region = Region([np.asarray(x["shingles"], np.int64).view(np.uint64) for x in pivots] + sets, num, den)
-        among = np.arange(len(pivots), len(pivots) + len(sets))
+ROW = "region long, id long, shingles array<long>"
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and sizes of an array column without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(column.offsets.to_numpy())
+
+
+def _solved(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """ROW to (a, b, pivot): links within regions, each of which a task can hold; pivot tells how a link was found."""
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, flats, sizes = None, [], [], []
+
+        def settle() -> pa.RecordBatch:
+            name = np.concatenate(ids)
+            region = Region(np.concatenate(flats), np.concatenate(sizes).astype(np.int64), num, den)
+            found = np.array(region.solve(), np.int64).reshape(-1, 2)
+            share = pa.array([region.by["pivots"]] + [0] * (len(found) - 1) if len(found) else [], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(name[found[:, 0]]), pa.array(name[found[:, 1]]), share], names=["a", "b", "by_pivots"])
+
+        for batch in batches:
+            region = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]])) if len(region) else np.zeros(0, np.int64)
+            for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(region)], strict=True):
+                if region[i] != now and ids:
+                    yield settle()
+                    ids, flats, sizes = [], [], []
+                now = region[i]
+                flat, size = _flat(batch.column(2).slice(i, j - i))
+                ids.append(batch.column(1).slice(i, j - i).to_numpy(zero_copy_only=False))
+                flats.append(flat)
+                sizes.append(size)
+        if ids:
+            yield settle()
+
+    return rows.select("region", "id", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(solve, "a long, b long, by_pivots long")
+
+
+def _voronoi(rows: DataFrame, num: int, den: int, level: int, province: int, volume: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One distributed round over ROW: links to the regions' pivots (a, b), the rows of the new regions, and those of
+    regions that the pivots could not part, dealt into pairs of blocks. Distances move as ids; shingles join them after."""
+    dealt = rows.withColumn("at", F.xxhash64("id", F.lit(level))).withColumn("size", F.size("shingles"))
+    ones = dealt.groupBy("region", F.pmod("at", F.lit(PIVOTS)).alias("nth")).agg(F.min_by(F.struct("id", "shingles"), "at").alias("pivot"), F.count("*").alias("m"), F.sum("size").alias("v"))
+    parts = F.greatest(F.ceil(F.sum("m") / province), F.ceil(F.sum("v") / volume)).cast("int")
+    first = stored(ones.groupBy("region").agg(F.collect_list("pivot").alias("pivots"), F.sum("m").alias("m"), F.sum("v").alias("v"), parts.alias("parts")), "jaccard-pivots")
+    salted = dealt.join(first.select("region", "parts"), "region").withColumn("part", F.pmod("at", F.col("parts")).cast("int")).select("region", "part", "id", "shingles")
+    lead = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("region", "part", "pivots")
+
+    def measure(key, p: pa.Table, docs: pa.Table) -> pa.Table:
+        pivots = p.column("pivots").to_pylist()[0] if p.num_rows else []
+        sets = [np.array(x["shingles"], np.int64).view(np.uint64) for x in pivots]
+        flat, size = _flat(docs.column("shingles").combine_chunks())
+        region = Region(np.concatenate([*sets, flat]), np.concatenate([[len(s) for s in sets], size]).astype(np.int64), num, den)
+        among, ids = np.arange(len(pivots), len(pivots) + len(size)), docs.column("id").to_numpy()
         d, out = [], []
-        ids = docs["id"].to_numpy()
         for j, x in enumerate(pivots):
             both = region.shared(j, among)
             union = region.size[among] + region.size[j] - both
             d.append(1 - both / np.maximum(union, 1))
             hit = np.flatnonzero(den * both >= num * union)
-            out.append(pd.DataFrame({"parent": key[0], "region": 0, "id": ids[hit], "other": int(x["id"]), "row": -1}))
+            out.append((np.zeros(len(hit), np.int64), ids[hit], np.full(len(hit), x["id"], np.int64), np.ones(len(hit), bool)))
         d = np.array(d)
         near = d <= d.min(0) + 2 * (1 - num / den) + 1e-9
         for j in range(len(pivots)):
             at = np.flatnonzero(near[j])
-            name = int(mixed(np.array([np.int64(key[0]).view(np.uint64) + np.uint64(j + 1) * C]))[0].view(np.int64))
-            out.append(pd.DataFrame({"parent": key[0], "region": name, "id": ids[at], "other": 0, "row": at}))
-        whole = pd.concat(out)
-        whole["shingles"] = [docs["shingles"].iloc[r] if r >= 0 else None for r in whole["row"]]
-        return whole.drop(columns="row")
-
-    made = stored(lead.groupBy("region", "part").cogroup(salted.groupBy("region", "part")).applyInPandas(measure, "parent long, region long, id long, other long, shingles array<long>"), "jaccard-round")
-    found = made.where("shingles is null")
-    cells = made.where("shingles is not null")
-    whole = cells.groupBy("parent", "region").count().groupBy("parent").agg(F.max("count").alias("largest")).join(first.select(F.col("region").alias("parent"), "m"), "parent")
-    stuck = stored(whole.where(F.col("largest") > F.col("m") / 2).select(F.col("parent").alias("region"), "m"), "jaccard-stuck")
-    onward = cells.join(stuck.select(F.col("region").alias("parent")), "parent", "left_anti").select("region", "id", "shingles")
+            name = mixed(np.array([np.int64(key[0].as_py()).view(np.uint64) + np.uint64(j + 1) * C]))[0].view(np.int64)
+            out.append((np.full(len(at), name), ids[at], np.zeros(len(at), np.int64), np.zeros(len(at), bool)))
+        region_of, doc, other, linked = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"parent": pa.array(np.full(len(doc), key[0].as_py())), "region": pa.array(region_of), "id": pa.array(doc), "other": pa.array(other), "linked": pa.array(linked)})
+
+    made = stored(lead.groupBy("region", "part").cogroup(salted.groupBy("region", "part")).applyInArrow(measure, "parent long, region long, id long, other long, linked boolean"), "jaccard-round")
+    found, cells = made.where("linked"), made.where("not linked")
+    whole = cells.groupBy("parent", "region").count().groupBy("parent").agg(F.max("count").alias("largest")).join(first.select(F.col("region").alias("parent"), "m", "v"), "parent")
+    stuck = stored(whole.where(F.col("largest") > F.col("m") / 2).select(F.col("parent").alias("region"), "m", "v"), "jaccard-stuck")
+    moved = cells.join(stuck.select(F.col("region").alias("parent")), "parent", "left_anti").select(F.col("parent").alias("_p"), F.col("id").alias("_i"), F.col("region").alias("_r"))
+    onward = rows.join(moved, (F.col("region") == F.col("_p")) & (F.col("id") == F.col("_i"))).select(F.col("_r").alias("region"), "id", "shingles")
     # what the pivot with most links holds together needs no pairs of its own: the others meet everyone, block by block
     main = found.groupBy("parent", "other").count().groupBy("parent").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
     held = found.join(main, ["parent", "other"], "left_semi").select(F.col("parent").alias("region"), "id").distinct().withColumn("held", F.lit(True))
-    rest = stored(rows.join(stuck, "region").join(held, ["region", "id"], "left").select("region", "id", "shingles", "m", F.coalesce("held", F.lit(False)).alias("held")), "jaccard-blocks")
-    half = province / 2
-    size = rest.groupBy("region").agg(F.ceil(F.sum((~F.col("held")).cast("long")) / half).cast("int").alias("odd"), F.ceil(F.count("*") / half).cast("int").alias("all")).where("odd > 0")
+    rest = stored(rows.join(stuck.select("region"), "region", "left_semi").join(held, ["region", "id"], "left").select("region", "id", "shingles", F.coalesce("held", F.lit(False)).alias("held")), "jaccard-blocks")
+    blocks = lambda many: F.greatest(F.ceil(F.sum(many.cast("long")) * 2 / province), F.ceil(F.sum(F.when(many, F.size("shingles")).otherwise(0)) * 2 / volume)).cast("int")
+    size = rest.groupBy("region").agg(blocks(~F.col("held")).alias("odd"), blocks(F.lit(True)).alias("all")).where("odd > 0")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id", F.lit(level)), F.col(n)).cast("int")
     odd = rest.where(~F.col("held")).join(size, "region").withColumn("i", own("odd")).withColumn("j", spread("all"))
     everyone = rest.join(size, "region").withColumn("j", own("all")).withColumn("i", spread("odd"))
-    pairs = odd.select("region", "i", "j", "id", "shingles").unionByName(everyone.select("region", "i", "j", "id", "shingles")).dropDuplicates(["region", "i", "j", "id", "shingles"])
-    return found.select(F.col("id").alias("a"), F.col("other").alias("b")), onward, pairs.select(F.xxhash64("region", "i", "j").alias("region"), "id", "shingles")
-
-
-def links(rows: DataFrame, num: int, den: int, province: int = PROVINCE) -> DataFrame:
-    """rows (region, id, shingles array<long>): (a, b) enough exact links within regions to connect all that is linked."""
+    pairs = odd.select("region", "i", "j", "id", "shingles").unionByName(everyone.select("region", "i", "j", "id", "shingles")).dropDuplicates(["region", "i", "j", "id"])
+    return found.select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(1).cast("long").alias("by_pivots")), onward, pairs.select(F.xxhash64("region", "i", "j").alias("region"), "id", "shingles")
 
-    def local(group: pd.DataFrame) -> pd.DataFrame:
-        ids = group["id"].to_numpy()
-        found = Region(_array(group["shingles"]), num, den).solve()
-        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
 
+def links(rows: DataFrame, num: int, den: int, province: int = PROVINCE, volume: int = VOLUME) -> DataFrame:
+    """ROW, with one row of each (region, id): (a, b, by_pivots) enough exact links within regions to connect all that
+    is linked; the sum of by_pivots tells how many of them were distances to pivots."""
     out, level = None, 0
     while True:
-        big = rows.groupBy("region").count().where(F.col("count") > province).select("region")
+        big = rows.groupBy("region").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("v")).where((F.col("m") > province) | (F.col("v") > volume) & (F.col("m") > 2 * PIVOTS)).select("region")
         if not big.limit(1).count():
             break
-        rest = rows.join(big, "region", "left_anti").groupBy("region").applyInPandas(local, "a long, b long")
-        to_pivots, onward, blocks = _voronoi(stored(rows.join(big, "region", "left_semi"), "jaccard-big"), num, den, level, province)
-        for part in (rest, to_pivots, blocks.groupBy("region").applyInPandas(local, "a long, b long")):
+        rest = _solved(rows.join(big, "region", "left_anti"), num, den)
+        to_pivots, onward, blocks = _voronoi(stored(rows.join(big, "region", "left_semi").select("region", "id", "shingles"), "jaccard-big"), num, den, level, province, volume)
+        for part in (rest, to_pivots, _solved(blocks, num, den)):
             out = part if out is None else out.unionByName(part)
         # each region on the way has at most half of its parent's documents
-        rows, level = onward, level + 1
-    rest = rows.groupBy("region").applyInPandas(local, "a long, b long")
+        rows, level = stored(onward, "jaccard-onward"), level + 1
+    rest = _solved(rows, num, den)
     return rest if out is None else out.unionByName(rest)
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, province: int = PROVINCE) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, province: int = PROVINCE, volume: int = VOLUME) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: the smallest doc_id that links of similarity >= num / den reach.
 
     Defined cases: null and empty texts, and texts of white space, have no shingles and are linked with nothing; texts
@@ -327,14 +349,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     columns are not read. Sets are compared by 64-bit hashes of shingles.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = stored(sets_of(docs, words, num, den), "jaccard-sets")
-    heads = stored(made.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")).where("id is not null"), "jaccard-heads")
-    # keys of one document of each different set
-    stands = made.join(heads, (made["digest"] == heads["digest"]) & (made["doc_id"] == heads["id"])).select("id", "keys").dropDuplicates(["id", "keys"])
-    keyed = stands.select(F.explode("keys").alias("key"), "id").repartition("key").sortWithinPartitions("key", "id")
-    near = stored(keyed.mapInArrow(_neighbours, "a long, b long").distinct(), "jaccard-near")
-    members = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    provinces = stored(connected_components(members, near).withColumnRenamed("component", "region"), "jaccard-provinces")
+    made = Stored(sets_of(docs, words, num, den), "jaccard-sets")
+    heads = stored(made.df.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")).where("id is not null"), "jaccard-heads")
+    # keys of one document of each different set; a hot key is summed up on the way and may be split in the join
+    stands = made.df.join(heads, (made.df["digest"] == heads["digest"]) & (made.df["doc_id"] == heads["id"])).dropDuplicates(["id", "digest"])
+    keyed = stands.select(F.explode("keys").alias("key"), "id")
+    least = keyed.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").select("key", "b")
+    near = Stored(keyed.join(least.hint("merge"), "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "jaccard-near")
+    slim = stored(made.df.select("doc_id", "n_shingles", "digest"), "jaccard-slim")
+    made.drop()
+    members = near.df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    provinces = stored(connected_components(members, near.df).withColumnRenamed("component", "region"), "jaccard-provinces")
+    near.drop()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,10 +370,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["region", "id", "shingles"])
 
-    rows = docs.join(provinces, docs["doc_id"] == provinces["id"]).select("region", "id", "text").mapInArrow(cut, "region long, id long, shingles array<long>")
-    found = stored(links(stored(rows.where(F.size("shingles") > 0), "jaccard-rows"), num, den, province), "jaccard-links")
+    rows = docs.join(provinces.hint("merge"), docs["doc_id"] == provinces["id"]).select("region", "id", "text").mapInArrow(cut, ROW)
+    # the texts of documents that share an id are one set of links, but several rows: each under a number of its own
+    rows = Stored(rows.where(F.size("shingles") > 0).withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = links(rows.df.select("region", F.col("row").alias("id"), "shingles"), num, den, province, volume)
+    name = rows.df.select("row", "id")
+    found = found.join(name.select(F.col("row").alias("a"), F.col("id").alias("_a")), "a").join(name.select(F.col("row").alias("b"), F.col("id").alias("_b")), "b")
+    found = stored(found.select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b"), "jaccard-links")
+    rows.drop()
     # documents with equal sets and rows that share a doc_id hang together as well
-    same = made.where("n_shingles > 0 and doc_id is not null").join(heads, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
-    parts = connected_components(made.where("doc_id is not null").select(F.col("doc_id").alias("id")), found.select("a", "b").unionByName(same))
-    by_id = made.select("doc_id", "n_shingles", "digest").join(heads, "digest", "left").withColumn("id", F.coalesce("doc_id", F.when(F.col("n_shingles") > 0, F.col("id"))))
+    same = slim.where("n_shingles > 0 and doc_id is not null").join(heads, "digest").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
+    parts = connected_components(slim.where("doc_id is not null").select(F.col("doc_id").alias("id")), found.unionByName(same))
+    by_id = slim.join(heads, "digest", "left").withColumn("id", F.coalesce("doc_id", F.when(F.col("n_shingles") > 0, F.col("id"))))
     return by_id.join(parts, "id", "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
