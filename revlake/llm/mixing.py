@@ -3,40 +3,47 @@
 A source's documents come in blocks. With whole-number weights w of sum W, block j of a source is released at slot
 floor(j * W / w) and due by slot ceil((j + 1) * W / w); in each slot the released block that is due first runs. At any
 slot a source is less than one block off its share. The schedule repeats every W slots, so only one period is worked
-out, from the weights alone; a block's slot follows from its number. A source that runs out leaves its slots empty and
-the others move up, so no document is dropped or repeated.
+out. Sources of one weight have the same windows and take their slots in a row, so a period is a list of stretches, whose
+number goes by the sum of the different weights and not by the sources: there may be any number of these. A source that
+runs out leaves its slots empty and the others move up, so no document is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlake.llm.common import stored
+from revlake.llm.common import Stored, packed, stored, unpacked
+from revlake.operators.asof import numbered
 
-BLOCK, MOST_SOURCES, MOST_SLOTS, BUCKET = 64, 10_000, 1_000_000, 8192
+BLOCK, MOST_BLOCKS, BUCKET = 64, 1_000_000, 8192
 
 
-def period(weights: list[int]) -> list[list[int]]:
-    """Slots of each source's blocks within one period, earliest deadline first; ties to the earlier source."""
-    total = sum(weights)
-    waiting = [(0, s, 0) for s, w in enumerate(weights) if w]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    slots: list[list[int]] = [[] for _ in weights]
-    for t in range(total):
-        while waiting and waiting[0][0] <= t:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * total // weights[s]), s, j))
-        due, s, j = heapq.heappop(ready)
-        if due <= t:
+def schedule(classes: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """classes (weight, sources) to one period's stretches (weight, j, first, till, slot): block j of the class's sources
+    number first to till - 1, one a slot from `slot` on. Earliest deadline first; ties to the larger weight."""
+    total = sum(w * n for w, n in classes)
+    waiting = sorted((j * total // w, -w, j, -(-(j + 1) * total // w), n) for w, n in classes for j in range(w))
+    ready: list[list[int]] = []
+    out, t, k = [], 0, 0
+    while t < total:
+        while k < len(waiting) and waiting[k][0] <= t:
+            _, minus, j, due, n = waiting[k]
+            heapq.heappush(ready, [due, minus, j, 0, n])
+            k += 1
+        top = ready[0]
+        due, minus, j, first, n = top
+        run = min(n - first, (waiting[k][0] if k < len(waiting) else total) - t)
+        if t + run > due:
             raise ArithmeticError("a block is late")
-        slots[s].append(t)
-        heapq.heappush(waiting, ((j + 1) * total // weights[s], s, j + 1))
-    return slots
+        out.append((-minus, j, first, first + run, t))
+        t += run
+        top[3] = first + run  # the order in the heap goes by what stands before
+        if top[3] == n:
+            heapq.heappop(ready)
+    return out
 
 
 def _before(rows: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
@@ -53,45 +60,33 @@ def _before(rows: DataFrame, by: list[str], order: str, value: str, name: str) -
 def mix(docs: DataFrame, weights: dict[str, int], default: int = 1, block: int = BLOCK) -> DataFrame:
     """docs, all columns kept, with block, slot and position (from 0, gapless) added under those names.
 
-    Within a source, documents come in order of their id's md5. weights: whole numbers by source; `default` for others
-    (a weight has to be positive). Defined cases: rows without a source are a source of their own with the default
-    weight; repeated rows are placed one by one; an empty table gives no rows; columns named like the added ones are
-    replaced. More than MOST_SOURCES sources, or weights that add up to more than MOST_SLOTS, are refused.
+    Within a source, documents come in order of their id's md5, equal ones in any order. weights: whole numbers by source;
+    `default` for others. Defined cases: rows without a source are a source of their own with the default weight;
+    repeated rows are placed one by one; an empty table gives no rows; columns named like the added ones are replaced,
+    others may have any names. Weights have to be positive, and different ones to add up to MOST_BLOCKS at most; sources
+    may be as many as there are.
     """
     spark = docs.sparkSession
-    docs = docs.drop("block", "slot", "position")
-    rows = docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-    rows = rows.withColumn("_at", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    names = [r._source for r in rows.select("_source").distinct().orderBy("_source").limit(MOST_SOURCES + 1).collect()]
-    share = [weights.get(n[1:], default) if n else default for n in names]
-    if len(names) > MOST_SOURCES or sum(share) > MOST_SLOTS or any(w < 1 for w in share):
-        raise ValueError("too many sources, or weights that are too large or not positive")
-    total = sum(share)
-    turns = period(share)
-    plan = [(s, k, slot, share[i]) for i, s in enumerate(names) for k, slot in enumerate(turns[i])]
-    literal = F.from_json(F.lit("[" + ",".join(f'{{"_source":{json.dumps(s)},"_k":{k},"_slot":{t},"_w":{w}}}' for s, k, t, w in plan) + "]"), "array<struct<_source: string, _k: bigint, _slot: bigint, _w: bigint>>")
-    slots = F.broadcast(spark.range(1).select(F.inline(literal)))  # one row of each slot of the period: MOST_SLOTS at most
-    # a document's number in its source: buckets by the leading digits of the md5, then its place within
-    most = rows.groupBy("_source").count().agg(F.max("count")).first()[0] or 0
-    digits = max(0, min(8, (most // BUCKET).bit_length() // 4 + 1))
-    rows = rows.withColumn("_bucket", F.conv(F.substring("_at", 1, digits), 16, 10).cast("long"))
-    sums = rows.groupBy("_source", "_bucket").count()
-    w = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_source", "_bucket", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy("_source", "_bucket").orderBy("_at", "doc_id")
-    key = F.xxhash64(*docs.columns)
-    numbered = rows.withColumn("_key", key).select("_source", "_bucket", "_at", "doc_id", "_key").withColumn("_row", F.row_number().over(inner.orderBy("_at", "doc_id", "_key"))).join(sums, ["_source", "_bucket"])
-    numbered = numbered.withColumn("_rank", F.col("_base") + F.col("_row") - 1).withColumn("block", F.floor(F.col("_rank") / block))
-    share_of = F.broadcast(spark.range(1).select(F.inline(literal)).select("_source", "_w").distinct())
-    timed = numbered.join(share_of, "_source").withColumn("_k", F.col("block") % F.col("_w")).join(slots.drop("_w"), ["_source", "_k"])
-    timed = timed.withColumn("slot", F.floor(F.col("block") / F.col("_w")) * total + F.col("_slot"))
-    timed = stored(timed.select("_key", F.col("doc_id").alias("_doc"), "block", "slot", (F.col("_rank") % block).alias("_in")), "mix-slots")
-    sizes = timed.groupBy("slot").agg(F.count("*").alias("_n"))
-    starts = _before(sizes.withColumn("_all", F.lit(0)), ["_all"], "slot", "_n", "_start").select("slot", "_start")
-    placed = timed.join(starts, "slot").select("_key", "block", "slot", (F.col("_start") + F.col("_in")).alias("position"))
-    # equal rows are told apart by a number on either side
-    again = Window.partitionBy("_key").orderBy("position")
-    placed = placed.withColumn("_nth", F.row_number().over(again))
-    own = docs.withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
-    return own.join(placed, ["_key", "_nth"]).drop("_key", "_nth")
-
+    used = {default, *weights.values()}
+    if any(w < 1 for w in used) or sum(used) > MOST_BLOCKS:
+        raise ValueError("weights that are not positive, or too large")
+    rows = Stored(packed(docs).withColumn("rid", F.monotonically_increasing_id()), "mix-rows").df  # rid is final once stored
+    source = F.col("row.source").cast("string")
+    of = F.lit(default)
+    for name, w in weights.items():
+        of = F.when(source == name, w).otherwise(of)
+    at = F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).cast("binary"))
+    slim = rows.select("rid", F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("s"), of.cast("long").alias("w"), at.alias("at"))
+    # sources by number within their weight, documents by number within their source; a hot one is split by ranges
+    sources = stored(numbered(slim.select("s", "w").distinct(), ["w"], ["s"], "i"), "mix-sources")
+    classes = [(r.w, r["count"]) for r in sources.groupBy("w").count().collect()]  # as many as there are different weights
+    total = sum(w * n for w, n in classes)
+    stretches = F.broadcast(spark.createDataFrame(schedule(classes), "w long, j long, first long, till long, start long"))  # 2 * MOST_BLOCKS rows at most
+    ranked = stored(numbered(slim.select("rid", "s", "at"), ["s"], ["at", "rid"], "rank").select("rid", "s", F.floor(F.col("rank") / block).alias("block"), (F.col("rank") % block).alias("in")), "mix-ranks")
+    blocks = ranked.groupBy("s", "block").agg(F.count("*").alias("n")).join(sources, "s").withColumn("j", F.col("block") % F.col("w"))
+    timed = blocks.join(stretches, ["w", "j"]).where("i >= first AND i < till")
+    timed = stored(timed.select("s", "block", "n", (F.floor(F.col("block") / F.col("w")) * total + F.col("start") + F.col("i") - F.col("first")).alias("slot")), "mix-slots")
+    starts = _before(timed.withColumn("all", F.lit(0)), ["all"], "slot", "n", "before").select("s", "block", "slot", "before")
+    placed = ranked.join(starts, ["s", "block"]).select("rid", "block", "slot", (F.col("before") + F.col("in")).alias("position"))
+    joined = rows.join(placed.hint("merge"), "rid")
+    return joined.select(*unpacked(joined, block=F.col("block"), slot=F.col("slot"), position=F.col("position")))

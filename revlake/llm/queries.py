@@ -48,7 +48,7 @@ WEIGHTS = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2}
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(common.table(spark, sf_dir, "documents"), WEIGHTS).select("doc_id", "source", "block", "slot", "position")
+    return mixing.mix(common.table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_line_dedup, op3_packing, op4_neighbours, op5_suffix_dedup, op6_exact_topk, op7_quality, op8_mixing, op9_token_counts, op10_toxicity)}
 ORACLE: dict[str, str] = {
+    "op8_mixing": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, coalesce('=' || source, '') AS s, CASE source {' '.join(f"WHEN '{k}' THEN {w}" for k, w in WEIGHTS.items())} ELSE 1 END AS w FROM documents),
+        src AS (SELECT s, w, row_number() OVER (ORDER BY w DESC, s) AS i FROM (SELECT DISTINCT s, w FROM d)),
+        tot AS (SELECT CAST(sum(w) AS BIGINT) AS total, count(*) AS n FROM src),
+        run AS (
+            SELECT CAST(-1 AS BIGINT) AS t, list_transform(range(n), lambda x: CAST(0 AS BIGINT)) AS done, CAST(0 AS BIGINT) AS pick, CAST(0 AS BIGINT) AS j FROM tot
+            UNION ALL
+            SELECT t + 1, list_transform(done, lambda x, k: x + CASE WHEN k = p THEN 1 ELSE 0 END), p, done[p]
+            FROM (SELECT t, any_value(done) AS done, arg_min(i, (((done[i] + 1) * total + w - 1) // w) * 1000000 + i) AS p FROM run, src, tot
+                  WHERE t + 1 < total AND done[i] < w AND done[i] * total // w <= t + 1 GROUP BY t)),
+        ranked AS (SELECT doc_id, source, i, w, row_number() OVER (PARTITION BY i ORDER BY md5(CAST(doc_id AS VARCHAR))) - 1 AS r FROM d JOIN src USING (s, w)),
+        timed AS (SELECT doc_id, source, r // 64 AS block, CAST(r // 64 // w * total + t AS BIGINT) AS slot, r FROM ranked, tot, run WHERE pick = i AND t >= 0 AND j = r // 64 % w)
+        SELECT doc_id, source, block, slot, row_number() OVER (ORDER BY slot, r) - 1 AS position FROM timed""",
     "op6_exact_topk": """
         WITH valid AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
