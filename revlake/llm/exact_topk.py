@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm.common import stored
-from revlake.llm.vectors import merged, top, valid
+from revlake.llm.vectors import merged, numbered, top, valid
 
-ROWS, QUERIES, TILE = 16384, 2048, 64
+ROWS, QUERIES, TILE = 4096, 2048, 64
 
 
 def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -41,12 +41,12 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     vectors and queries: (vec_id, embedding). A query's own vec_id is no candidate. Defined cases: vectors that are
     null or hold null or non-finite components take no part; vectors of another length than the query are no
-    candidates of it; repeated rows are candidates one by one; fewer than k candidates give fewer rows; an empty table
+    candidates of it; repeated rows are candidates, and queries, one by one; fewer than k candidates give fewer rows; an empty table
     gives none; other columns are not read. Scores have to fit in 64 bits: larger ones raise an error.
     """
     whole = F.transform("v", lambda x: F.floor(x * 256).cast("long"))
     sparse = lambda df: valid(df, zero_too=True).select("vec_id", F.size("v").alias("width"), whole.alias("w"))
-    rows, asked = stored(sparse(vectors), "topk-rows"), stored(sparse(queries), "topk-queries")
+    rows, asked = stored(sparse(vectors), "topk-rows"), numbered(sparse(queries), "topk-queries")
     blocks = lambda df, n: max(1, -(-df.count() // n))
     nr, nq = blocks(rows, ROWS), blocks(asked, QUERIES)
     deal = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
@@ -64,11 +64,11 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             ids = b["vec_id"].to_numpy()
             for at in range(0, len(a), TILE):
                 scores = accumulate(x[at : at + TILE], y)
-                for query, s in zip(a["vec_id"].to_numpy()[at : at + TILE], scores, strict=True):
+                for number, query, s in zip(a["q"].to_numpy()[at : at + TILE], a["vec_id"].to_numpy()[at : at + TILE], scores, strict=True):
                     other = ids != query
                     best = top(s, ids, k) if other.all() else np.flatnonzero(other)[top(s[other], ids[other], k)]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                    out.append(pd.DataFrame({"q": number, "query_id": query, "vec_id": ids[best], "score": s[best]}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
-    partial = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(search, "query_id long, vec_id long, score long")
+    partial = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInPandas(search, "q long, query_id long, vec_id long, score long")
     return merged(partial, k)

@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm.common import stored
-from revlake.llm.vectors import matrix, merged, top, valid
+from revlake.llm.vectors import matrix, merged, numbered, top, valid
 
 TRAIN, BRANCH, LEAF_SAMPLE, MOST_LEAVES = 20_000, 12, 96, 4096
-CALIBRATE, BLOCK = 192, 8192
+CALIBRATE, BLOCK = 192, 2048
 
 
 @dataclass
@@ -47,10 +47,10 @@ class Tree:
                 todo += [(c, rows[near == j]) for j, c in enumerate(self.children[node])]
         return out
 
-    def order(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves of a unit vector, best bin first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def order(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves of a unit vector, best bin first: `most` of them, and more until they hold `least` rows."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or sizes is not None and held < least):
             _, node = heapq.heappop(queue)
             while node not in self.leaf:
                 d = ((self.centres[node] - q) ** 2).sum(1)
@@ -60,6 +60,7 @@ class Tree:
                         heapq.heappush(queue, (float(d[j]), c))
                 node = self.children[node][best]
             out.append(self.leaf[node])
+            held += int(sizes[self.leaf[node]]) if sizes is not None else 0
         return out
 
 
@@ -100,8 +101,8 @@ class Best:
     """The k best rows of each of some queries so far. A matrix product finds who can be among them; the scores
     themselves are summed row by row, so equal vectors get equal scores wherever they stand."""
 
-    def __init__(self, queries: np.ndarray, k: int):
-        self.queries, self.k = queries, k
+    def __init__(self, numbers: np.ndarray, queries: np.ndarray, k: int):
+        self.numbers, self.queries, self.k = numbers, queries, k
         self.score = np.full((len(queries), k), -np.inf)
         self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
 
@@ -139,10 +140,10 @@ class Best:
 
     def frame(self) -> pd.DataFrame:
         q, j = np.nonzero(self.score > -np.inf)
-        return pd.DataFrame({"query_id": self.queries[q], "vec_id": self.ids[q, j], "score": self.score[q, j]})
+        return pd.DataFrame({"q": self.numbers[q], "query_id": self.queries[q], "vec_id": self.ids[q, j], "score": self.score[q, j]})
 
 
-PARTIAL = "query_id long, vec_id long, score double"
+PARTIAL = "q long, query_id long, vec_id long, score double"
 
 
 def _truth(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
@@ -152,29 +153,57 @@ def _truth(rows: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> DataFra
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                best = Best(asked.value[0], k)
+                best = Best(np.arange(len(asked.value[0])), asked.value[0], k)
                 best.add(np.arange(len(asked.value[0])), asked.value[1], b["vec_id"].to_numpy(), units(matrix(b["v"])))
                 yield best.frame()
 
     return merged(rows.select("vec_id", "v").mapInPandas(search, PARTIAL), k)
 
 
+def _all_pairs(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Exhaustive search among vectors of the same length, in pairs of blocks."""
+    blocks = lambda df: max(1, -(-df.count() // BLOCK))
+    nr, nq = blocks(rows), blocks(asked)
+    deal = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    by = ["width", "rb", "qb"]
+    left = asked.withColumn("width", F.size("v")).withColumn("qb", deal(nq)).withColumn("rb", spread(nr))
+    right = rows.withColumn("width", F.size("v")).withColumn("rb", deal(nr)).withColumn("qb", spread(nq))
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        best = Best(a["q"].to_numpy(), a["vec_id"].to_numpy(), k)
+        if len(a) and len(b):
+            uq, uv, ids = units(matrix(a["v"])), units(matrix(b["v"])), b["vec_id"].to_numpy()
+            for j in range(0, len(a), 512):
+                at = np.arange(j, min(j + 512, len(a)))
+                best.add(at, uq[at], ids, uv)
+        return best.frame()
+
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, PARTIAL)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score of about the k nearest rows of each query by cosine.
 
     vectors and queries: (vec_id, embedding); a query's own vec_id is no candidate. Defined cases: vectors that are
-    null, zero, or hold null or non-finite components take no part; nor do vectors of another length than the most
-    usual one of the table; repeated rows are candidates one by one; ties go to the smaller vec_id; fewer than k
-    candidates give fewer rows; an empty table gives none; other columns are not read.
+    null, zero, or hold null or non-finite components take no part; a query's candidates are the vectors of its length,
+    and those of another length than the table's most usual one are searched exhaustively among themselves; repeated
+    rows are candidates, and queries, one by one; ties go to the smaller vec_id; fewer than k candidates give fewer rows;
+    an empty table gives none; other columns are not read.
     """
     spark = vectors.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
-    whole = valid(vectors, zero_too=False)
-    usual = whole.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    every, wanted = valid(vectors, zero_too=False), numbered(valid(queries, zero_too=False), "hkm-queries")
+    usual = every.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
     if usual is None:
         return spark.createDataFrame([], result)
-    whole, asked = (df.where(F.size("v") == usual.width) for df in (whole, valid(queries, zero_too=False)))
+    whole, asked = (df.where(F.size("v") == usual.width) for df in (every, wanted))
+    odd = wanted.where(F.size("v") != usual.width)
+    rest = _all_pairs(every.where(F.size("v") != usual.width), odd, k) if odd.limit(1).count() else None
     by_hash = lambda df, salt, n: df.select(F.xxhash64("vec_id", F.lit(salt)).alias("at"), "vec_id", "v").orderBy("at", "vec_id").limit(n).toPandas()
+    trial = by_hash(asked, 2, CALIBRATE)
+    if not len(trial):
+        return merged(rest, k) if rest else spark.createDataFrame([], result)
     tree = spark.sparkContext.broadcast(fit(units(matrix(by_hash(whole, 1, TRAIN)["v"]))))
     leaves = len(tree.value.leaf)
 
@@ -184,14 +213,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *b.columns], names=["leaf", "vec_id", "v"])
 
     rows = stored(whole.mapInArrow(index, "leaf long, vec_id long, v array<double>"), "hkm-rows")
-    trial = by_hash(asked, 2, CALIBRATE)
-    if not len(trial):
-        return spark.createDataFrame([], result)
     ids, q = trial["vec_id"].to_numpy(), matrix(trial["v"])
-    truth = _truth(rows, ids, units(q), k).join(rows.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()  # CALIBRATE * k rows and their repeats
+    found = _truth(rows, ids, units(q), k).select("query_id", "vec_id").distinct()
+    # rows of one vec_id may lie in several leaves: one of them stands for it, so at most CALIBRATE * k rows come back
+    truth = found.join(rows.select("vec_id", "leaf"), "vec_id").groupBy("query_id", "vec_id").agg(F.min("leaf").alias("leaf")).collect()
     place = {i: {leaf: n for n, leaf in enumerate(tree.value.order(u, leaves))} for i, u in zip(ids.tolist(), units(q), strict=True)}
-    found = np.sort([place[r.query_id][r.leaf] for r in truth])
-    visits = int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1 if len(found) else 1
+    ranks = np.sort([place[r.query_id][r.leaf] for r in truth])
+    visits = int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1 if len(ranks) else 1
 
     # shards of about BLOCK rows: several small leaves, or one of the blocks of a leaf with very many rows
     sizes = {r.leaf: r["count"] for r in rows.groupBy("leaf").count().collect()}  # MOST_LEAVES rows at most
@@ -201,30 +229,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
             shard, filled = shard + 1, 0
         first[leaf], blocks[leaf] = shard, -(-count // BLOCK)
         shard, filled = (shard + int(blocks[leaf]), 0) if count > BLOCK else (shard, filled + count)
-    places = spark.sparkContext.broadcast((first, blocks))
+    held = np.array([sizes.get(i, 0) for i in range(leaves)], np.int64)
+    places = spark.sparkContext.broadcast((first, blocks, held))
     shards = F.broadcast(spark.createDataFrame([(i, int(first[i]), int(blocks[i])) for i in range(leaves)], "leaf long, first long, blocks long"))
     right = rows.join(shards, "leaf").select((F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("blocks"))).alias("shard"), "leaf", "vec_id", "v")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, blocks = places.value
+        first, blocks, held = places.value
         for b in batches:
             if not b.num_rows:
                 continue
             row, shard, asked = [], [], []
             for i, x in enumerate(units(matrix(b.to_pandas()["v"]))):
                 wanted: dict[int, list[int]] = {}
-                for leaf in tree.value.order(x, visits):
+                for leaf in tree.value.order(x, visits, held, k + 1):
                     for s in range(first[leaf], first[leaf] + blocks[leaf]):
                         wanted.setdefault(s, []).append(leaf)
                 row += [i] * len(wanted)
                 shard += wanted.keys()
                 asked += wanted.values()
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(asked, pa.list_(pa.int64())), *(c.take(pa.array(row, pa.int64())) for c in b.columns)], names=["shard", "leaves", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(asked, pa.list_(pa.int64())), *(c.take(pa.array(row, pa.int64())) for c in b.columns)], names=["shard", "leaves", "q", "vec_id", "v"])
 
-    left = asked.mapInArrow(walk, "shard long, leaves array<long>, vec_id long, v array<double>")
+    left = asked.select("q", "vec_id", "v").mapInArrow(walk, "shard long, leaves array<long>, q long, vec_id long, v array<double>")
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        best = Best(a["vec_id"].to_numpy(), k)
+        best = Best(a["q"].to_numpy(), a["vec_id"].to_numpy(), k)
         if len(a) and len(b):
             uq, uv, ids, leaf = units(matrix(a["v"])), units(matrix(b["v"])), b["vec_id"].to_numpy(), b["leaf"].to_numpy()
             wanted: dict[int, list[int]] = {}
@@ -239,4 +268,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, recall: float =
         return best.frame()
 
     partial = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInPandas(search, PARTIAL)
-    return merged(partial, k)
+    return merged(partial.unionByName(rest) if rest else partial, k)

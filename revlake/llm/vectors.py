@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlake.llm.common import stored
+
 
 def valid(vectors: DataFrame, zero_too: bool) -> DataFrame:
     """(vec_id, v array<double>) of vectors without null or non-finite components; zero vectors only with zero_too."""
@@ -20,9 +22,14 @@ def matrix(column) -> np.ndarray:
     return np.array(column.tolist(), np.float64)
 
 
+def numbered(queries: DataFrame, label: str) -> DataFrame:
+    """Queries with a number `q`, as rows may repeat: each is a query of its own. Numbers are final once stored."""
+    return stored(queries.withColumn("q", F.monotonically_increasing_id()), label)
+
+
 def merged(partial: DataFrame, k: int) -> DataFrame:
-    """The k best of each query from partial results: score descending, then vec_id."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """The k best of each query row (q) from partial results: score descending, then vec_id."""
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
