@@ -135,8 +135,10 @@ class Words:
             e = self.library.encode(glue.join([words[i] for i in part]), add_special_tokens=False)
             ids, owner = np.array(e.ids, np.uint32), np.array(e.word_ids, np.int64)
             cuts = np.searchsorted(owner, np.arange(len(part) + 1))
-            if owner[-1] != len(part) - 1:
-                raise ValueError("the library split a row of words otherwise")
+            if len(owner) == 0 or owner[-1] != len(part) - 1:  # the library parts them otherwise: each on its own then
+                for i in part:
+                    out[i] = np.array(self.library.encode(words[i], add_special_tokens=False).ids, np.uint32).tobytes()
+                continue
             for j, i in enumerate(part):
                 out[i] = ids[cuts[j] : cuts[j + 1]].tobytes()
         rest = sorted({*range(len(words))} - {*rows})

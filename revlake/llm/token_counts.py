@@ -60,12 +60,14 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
     spark, version = docs.sparkSession, tokenizer_version(tokenizer)
     content = F.sha2(normalised(F.col("text")).cast("binary"), 256)
     rows = Stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), content.alias("content")), "digests")
-    # one row of each digest stands for it: the one with the least id, whose text is digested again as ids may repeat
+    # one row of each digest stands for it: the one with the least id
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
     stands = rows.df.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(known.select("content"), "content", "left_anti")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    misses = texts.join(stands.withColumnRenamed("content", "_content"), texts["doc_id"].eqNullSafe(stands["doc_id"]), "inner").select(F.col("_content").alias("content"), "text")
-    fresh = encode(misses.where(F.sha2(normalised(F.col("text")).cast("binary"), 256) == F.col("content")), tokenizer)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), content.alias("digest"))
+    # by digest and id, so that neither copies nor rows without id are a hot key
+    same = (texts["digest"] == stands["content"]) & texts["id"].eqNullSafe(stands["doc_id"])
+    fresh = encode(texts.join(stands.hint("merge"), same, "inner").select("content", "text"), tokenizer)
     fresh.groupBy("content").agg(F.min("n_tokens").alias("n_tokens")).select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
-    return rows.df.join(known, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = F.coalesce("n_tokens", F.raise_error(F.lit("a digest has no count")).cast("long"))
+    return rows.df.join(known, "content", "left").withColumn("n_tokens", counted).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
