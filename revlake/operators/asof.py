@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlake.plans.store import kept
+
 
 def latest(df: DataFrame, keys: list[str], *newest_first: str) -> DataFrame:
     """The newest row of each key; plans as a window group limit, so each task keeps one row a key before the shuffle."""
@@ -29,3 +31,17 @@ def as_of_floor(df: DataFrame, keys: list[str], revision: str, floors: DataFrame
 def dense_number(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Numbers rows of a key from 0."""
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """As dense_number, for few keys with many rows each: rows are dealt by ranges of (keys, order), numbered within
+    their range, and the counts of the ranges before are added, so no task holds a key as a whole."""
+    parted = kept(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parted.groupBy(*keys, "_p").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    sizes = sizes.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_p").alias("_q"), "_base")
+    own = parted.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order)))
+    same = F.col("_p") == F.col("_q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return own.join(sizes, same).withColumn(name, (F.col("_base") + F.col("_n") - 1).cast("long")).select(*df.columns, name)

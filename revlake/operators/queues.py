@@ -10,12 +10,13 @@ from revlake.plans.store import kept
 
 
 def claimable(queue: DataFrame, presentation: str, revision: str, state: str, window: int, flying: tuple[str, ...]) -> DataFrame:
-    """Newest pending row of each presentation that has nothing in flight, oldest revision first, while the window of
-    deliveries in flight has room (the caller takes one a call)."""
+    """The one delivery to claim now, or none: of presentations with nothing in flight the newest pending row, the oldest
+    such revision first (then by presentation), as long as fewer than `window` deliveries are in flight at all."""
     busy = queue.where(F.col(state).isin(*flying))
-    room = max(0, window - busy.limit(window).count())
-    newest = latest(queue, [presentation], revision).where(F.col(state) == "pending")
-    return newest.join(busy.select(presentation).distinct(), presentation, "left_anti").orderBy(revision).limit(room)
+    full = busy.limit(window).agg((F.count("*") >= window).alias("_full"))  # one row
+    newest = latest(queue.where(F.col(state) == "pending"), [presentation], revision)
+    free = newest.join(busy.select(presentation).distinct(), presentation, "left_anti")
+    return free.orderBy(revision, presentation).limit(1).join(F.broadcast(full)).where("not _full").drop("_full")
 
 
 def superseded(queue: DataFrame, presentation: str, revision: str, state: str) -> DataFrame:
@@ -44,3 +45,31 @@ def tickets(queue: DataFrame, order: str, base: int) -> DataFrame:
     sizes = parted.groupBy("_p").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     numbered = parted.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     return numbered.join(F.broadcast(sizes), "_p").withColumn("ticket", (F.col("_base") + F.col("_n") + base).cast("long")).drop("_p", "_n", "_base")
+
+
+def rotated(queue: DataFrame, ticket: str, batch: int) -> DataFrame:
+    """Fair rotation: the `batch` lowest tickets are served and go to the end with new ones after the highest, in their
+    order. Adds served and new_ticket."""
+    served = queue.orderBy(ticket).limit(batch).withColumn("_turn", F.row_number().over(Window.orderBy(ticket)))  # batch rows
+    top = queue.agg(F.max(ticket).alias("_top"))
+    turns = F.broadcast(served.select(F.col(ticket).alias("_ticket"), "_turn"))
+    rows = queue.join(turns, F.col(ticket) == F.col("_ticket"), "left").join(F.broadcast(top))
+    served_now = F.col("_turn").isNotNull()
+    return rows.select(*queue.columns, served_now.alias("served"), F.when(served_now, F.col("_top") + F.col("_turn")).otherwise(F.col(ticket)).cast("long").alias("new_ticket"))
+
+
+def recovered(queue: DataFrame, owners: DataFrame, owner: str, state: str, flying: tuple[str, ...]) -> DataFrame:
+    """What was in flight under an owner that is no more has an unknown outcome and is never sent again."""
+    alive = owners.select(owner).distinct().withColumn("_alive", F.lit(True))
+    lost = F.col(state).isin(*flying) & F.col("_alive").isNull()
+    return queue.join(alive, owner, "left").withColumn("new_state", F.when(lost, "unknown").otherwise(F.col(state))).drop("_alive")
+
+
+def not_included(causes: DataFrame, activations: DataFrame) -> DataFrame:
+    """activations (presentation, activation, revision), causes (activation, cause): (presentation, newer, missing) of the
+    newest activation of each presentation that lacks causes of older ones."""
+    newest = latest(activations, ["presentation"], "revision").select("presentation", F.col("activation").alias("newer"), F.col("revision").alias("_top"))
+    older = activations.join(newest, "presentation").where(F.col("revision") < F.col("_top")).select("presentation", "newer", "activation")
+    wanted = older.join(causes, "activation").select("presentation", "newer", "cause").distinct()
+    had = causes.select(F.col("activation").alias("newer"), "cause").distinct()
+    return wanted.join(had, ["newer", "cause"], "left_anti").groupBy("presentation", "newer").agg(F.count("*").alias("missing"))
