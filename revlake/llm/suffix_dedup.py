@@ -91,54 +91,59 @@ class Columns:
     """Burrows-Wheeler transform and common prefixes of a collection of strings (bytes below 0xFF), symbol by symbol.
 
     Every string's suffixes stand in one sorted order; bwt[i] is the symbol before suffix i (END before a whole
-    string), lcp[i] what suffix i has in common with the one before it (at most 255). A round takes the suffixes that
-    the last round inserted, puts the next symbol before each, and finds the new suffix's place by counting equal
+    string), lcp[i] what suffix i has in common with the one before it, counted up to `most`. A round takes the suffixes
+    that the last round inserted, puts the next symbol before each, and finds the new suffix's place by counting equal
     symbols before it; the common prefix with a new neighbour is one more than the least entry between their tails.
-    Both arrays are read and rewritten in order, from one pair of files to another.
+    Both arrays are read and rewritten in order, from one file to the other.
     """
 
-    def __init__(self, strings: list[bytes], folder: str):
+    def __init__(self, strings: list[bytes], folder: str, most: int = 255):
         n = len(strings)
-        self.n, self.folder, self.turn = n, folder, 0
+        self.n, self.turn, self.most = n, 0, most
+        self.files = [[open(f"{folder}/{name}-{k}", "w+b", buffering=0) for name in ("bwt", "lcp")] for k in (0, 1)]  # noqa: SIM115
+        self.prefix = np.uint8 if most <= 255 else np.uint16 if most <= 65535 else np.uint32
         length = np.fromiter(map(len, strings), np.int64, n)
         text = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
         end = np.cumsum(length)
         rounds = int(length.max(initial=0))
         bwt = np.where(length > 0, text[np.maximum(end, 1) - 1] if len(text) else 0, END).astype(np.uint8)
-        lcp = np.zeros(n, np.uint8)
-        self._write(bwt, lcp)
-        live, place = np.arange(n), np.arange(n)
+        self._write(bwt, np.zeros(n, self.prefix))
+        live, place, symbol = np.arange(n), np.arange(n), bwt
         for done in range(1, rounds + 1):
             bwt, lcp = self._read()
             keep = length[live] >= done
-            live, place = live[keep], place[keep]
+            live, place, symbol = live[keep], place[keep], symbol[keep]
             order = np.argsort(bwt, kind="stable")
-            rank = np.empty(len(bwt), np.int32)
-            rank[order] = np.arange(len(bwt), dtype=np.int32)
-            new = np.sort(rank[place])  # all suffixes that start with a symbol, after this round, in order of their tails
-            by = np.argsort(rank[place], kind="stable")
-            live, place = live[by], place[by]
-            symbol = bwt[place]
-            ended = int((bwt == END).sum())
+            # all suffixes that start with a symbol, after this round, in order of their tails: places go up within a symbol
+            by = np.lexsort((place, symbol))
+            live, place, symbol = live[by], place[by], symbol[by]
+            starts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=256))])
+            new = np.empty(len(place), np.int64)
+            cut = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]])) if len(symbol) else np.zeros(0, np.int64)
+            for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(symbol)], strict=True):
+                low = starts[symbol[i]]
+                new[i:j] = low + np.searchsorted(order[low : starts[symbol[i] + 1]], place[i:j])
             # rows of END stand for whole strings; the empty suffixes take their room, n rows in front
-            at = new - ended + self.n
+            at = new - starts[END + 1] + n
             total = len(bwt) + len(new)
             left = self._common(bwt, lcp, order, new, symbol, -1)
             right = self._common(bwt, lcp, order, new, symbol, +1)
             before = np.where(length[live] > done, text[np.maximum(end[live] - done, 1) - 1], END).astype(np.uint8)
             old = np.ones(total, bool)
             old[at] = False
-            next_bwt, next_lcp = np.empty(total, np.uint8), np.empty(total, np.uint8)
+            next_bwt, next_lcp = np.empty(total, np.uint8), np.empty(total, self.prefix)
             next_bwt[old], next_lcp[old] = bwt, lcp
             follow = at + 1 < total
             next_lcp[at[follow] + 1] = right[follow]
             next_bwt[at], next_lcp[at] = before, left
             self._write(next_bwt, next_lcp)
-            place = at
+            place, symbol = at, before
         self.bwt, self.lcp = self._read()
+        for pair in self.files:
+            for f in pair:
+                f.close()
 
-    @staticmethod
-    def _common(bwt, lcp, order, new, symbol, side) -> np.ndarray:
+    def _common(self, bwt, lcp, order, new, symbol, side) -> np.ndarray:
         """Common prefix of each new suffix with the one beside it in the order after this round."""
         beside = new + side
         ok = (beside >= 0) & (beside < len(order))
@@ -146,22 +151,28 @@ class Columns:
         ok &= bwt[other] == symbol
         own = order[new]
         low, high = np.minimum(own, other) + 1, np.maximum(own, other) + 1
-        out = np.zeros(len(new), np.uint8)
+        out = np.zeros(len(new), lcp.dtype)
         if ok.any():
             pick = np.flatnonzero(ok)
             pick = pick[np.argsort(-low[pick], kind="stable")]  # then stretches between pairs cost nothing
             pairs = np.stack([low[pick], high[pick]], 1).ravel()
-            least = np.minimum.reduceat(np.append(lcp, np.uint8(255)), pairs)[::2]
-            out[pick] = np.minimum(least, 254) + 1
+            least = np.minimum.reduceat(np.append(lcp, lcp.dtype.type(self.most)), pairs)[::2]
+            out[pick] = np.minimum(least, self.most - 1) + 1
         return out
 
     def _write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
         self.turn ^= 1
-        for name, x in (("bwt", bwt), ("lcp", lcp)):
-            x.tofile(f"{self.folder}/{name}-{self.turn}")
+        self.rows = len(bwt)
+        for f, x in zip(self.files[self.turn], (bwt, lcp), strict=True):
+            f.seek(0)  # what lies behind the new rows is not read
+            f.write(memoryview(x).cast("B"))
 
     def _read(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(f"{self.folder}/{name}-{self.turn}", np.uint8) for name in ("bwt", "lcp"))
+        out = []
+        for f, kind in zip(self.files[self.turn], (np.uint8, self.prefix), strict=True):
+            f.seek(0)
+            out.append(np.fromfile(f, kind, self.rows))
+        return out[0], out[1]
 
     def places(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each suffix length: (length, strings that have it, their places in the order), by walking backwards."""
@@ -181,7 +192,7 @@ def repeats(strings: list[bytes], weights: np.ndarray, size: int) -> np.ndarray:
     most = max(map(len, strings))
     out = np.zeros((len(strings), most - size + 1), bool)
     with tempfile.TemporaryDirectory() as folder:
-        c = Columns(strings, folder)
+        c = Columns(strings, folder, max(255, size))
         run = np.cumsum(c.lcp < size)
         length = np.fromiter(map(len, strings), np.int64, len(strings))
         long_ones = [(k, live, place) for k, live, place in c.places() if k >= size]
@@ -275,7 +286,9 @@ def _split(rows: DataFrame, size: int) -> DataFrame:
 
 
 def _suffixes(rows: DataFrame, size: int) -> DataFrame:
-    """Intervals that repeat, of the segments with n = 1; rows of a key stand together in a task."""
+    """Intervals that repeat, of the segments with n = 1; rows of a key stand together in a task. There are as many tasks
+    as collections, as their work goes by bytes times rounds and far exceeds what reading them costs."""
+    tasks = max(1, -(-rows.count() * 2 * size // COLLECTION))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(block):
@@ -311,7 +324,7 @@ def _suffixes(rows: DataFrame, size: int) -> DataFrame:
         if block:
             yield flush(block)
 
-    return rows.select("key", "uid", "start", "n", "body").repartition("key").sortWithinPartitions("key").mapInArrow(build, SPAN)
+    return rows.select("key", "uid", "start", "n", "body").repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(build, SPAN)
 
 
 def repeated(docs: DataFrame, size: int = 200, group: int = GROUP) -> DataFrame:
