@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,16 +56,16 @@ def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
 
 class Stored:
     """A table written to the shared folder: its lineage ends there, so a lost executor costs one read. drop() once the
-    last reader has run; what a lazy result still reads stays until sweep()."""
+    last reader has run; what a lazy result still reads stays, or until sweep() if it was made under a tag."""
 
-    left: ClassVar[dict[str, SparkSession]] = {}
+    left: ClassVar[dict[str, tuple[SparkSession, str | None]]] = {}
 
     def __init__(self, df: DataFrame, label: str):
         self.spark = df.sparkSession
         self.path = scratch(self.spark, label)
         with shuffles_let_go(self.spark):
             df.write.option("compression", "zstd").parquet(self.path)
-        self.left[self.path] = self.spark
+        self.left[self.path] = self.spark, _tag.get()
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -76,11 +77,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
 
 
-def sweep(spark: SparkSession, *keep: Stored) -> None:
-    """Drops all scratch tables of this session but those to keep. For callers who know that every result that reads
-    them has been written, such as the stages of a pipeline whose results are Parquet."""
-    for path, owner in list(Stored.left.items()):
-        if owner is spark and path not in {k.path for k in keep}:
+_tag: contextvars.ContextVar[str | None] = contextvars.ContextVar("tag", default=None)
+
+
+@contextlib.contextmanager
+def tagged(tag: str) -> Iterator[None]:
+    """Scratch tables made meanwhile go with sweep(tag)."""
+    token = _tag.set(tag)
+    try:
+        yield
+    finally:
+        _tag.reset(token)
+
+
+def sweep(spark: SparkSession, tag: str) -> None:
+    """Drops this session's scratch tables under a tag. For callers who know that every result that reads them has been
+    written, such as the stages of a pipeline whose results are Parquet."""
+    for path, (owner, made) in list(Stored.left.items()):
+        if owner is spark and made == tag:
             Stored.left.pop(path)
             drop(spark, path)
 
