@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,12 @@ def attested(df: DataFrame, ddl: str) -> DataFrame:
     return df
 
 
+def opened(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A table of the store, read under its explicit schema once its files have been attested to have it."""
+    attested(spark.read.parquet(path), ddl)
+    return spark.read.schema(ddl).parquet(path)
+
+
 def row_violations(versions: DataFrame) -> DataFrame:
     """Rows that break a rule of stored versions, with the first rule they break."""
     kind = {"file": 1, "directory": 2, "symlink": 3}

@@ -75,10 +75,78 @@ def test_queue(spark):
 
 
 def test_retention(spark):
-    v = spark.createDataFrame([(1, 1), (1, 5), (1, 9), (2, 2)], "id int, revision int")
+    v = spark.createDataFrame([(7, 1, 1), (7, 1, 5), (7, 1, 9), (7, 2, 2), (8, 3, 1), (8, 3, 2)], "tenant int, id int, revision int")
+    floors = spark.createDataFrame([(7, 6), (8, 1)], "tenant int, floor int")
     pins = spark.createDataFrame([(1, 1)], "id int, revision int")
-    assert rows(retention.retained_versions(v, ["id"], "revision", F.lit(6), pins, ["id", "revision"])) == [(1, 1), (1, 5), (1, 9), (2, 2)]
-    assert rows(retention.retained_versions(v, ["id"], "revision", F.lit(6), pins.limit(0), ["id", "revision"])) == [(1, 5), (1, 9), (2, 2)]
+    kept = lambda *p: rows(retention.retained_versions(v, floors, ["id"], "revision", list(p)).select("id", "revision"))
+    assert kept(pins) == [(1, 1), (1, 5), (1, 9), (2, 2), (3, 1), (3, 2)]
+    assert kept(pins.limit(0)) == [(1, 5), (1, 9), (2, 2), (3, 1), (3, 2)]
+
+
+def test_safe_floor_waits_for_every_lease(spark):
+    tenants = spark.createDataFrame([(1, 50, 40, 10), (2, 50, 40, 10), (3, 50, None, 10), (4, 50, 40, 45)], "tenant int, head long, applied long, floor long")
+    anchors = spark.createDataFrame([(1, 30)], "tenant int, at long")
+    leases = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "tenant int, domain string")
+    seen = spark.createDataFrame([(1, "a", 35), (2, "a", 20)], "tenant int, domain string, observed long")
+    # held by its anchor; a lease has not been acknowledged; nothing applied; never back
+    assert rows(retention.safe_floor(tenants, [anchors], leases, seen)) == [(1, 30), (2, 10), (3, 10), (4, 45)]
+
+
+def test_claim_respects_the_window(spark):
+    q = spark.createDataFrame([(1, 1, "pending"), (1, 2, "acked"), (2, 3, "awaiting"), (3, 4, "awaiting")], "p int, r int, s string")
+    assert rows(queues.claimable(q, "p", "r", "s", 2, ("awaiting",))) == []
+    # an older pending row under a newer acknowledged one is still claimed
+    assert rows(queues.claimable(q, "p", "r", "s", 3, ("awaiting",)).select("p", "r")) == [(1, 1)]
+
+
+def test_numbered_is_dense_within_keys(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id AS n").unionByName(spark.createDataFrame([(None, 5), (None, 6)], "k long, n long"))
+    got = asof.numbered(df, ["k"], ["n"], "at").collect()
+    for k in (0, 1, 2, None):
+        own = sorted((r.n, r["at"]) for r in got if r.k == k)
+        assert [a for _, a in own] == list(range(len(own)))
+
+
+def test_long_chains_take_few_rounds(spark):
+    edges = spark.range(1, 1000).selectExpr("id AS child", "id - 1 AS parent")
+    seen = graph.lineage(edges, spark.createDataFrame([(999,)], "node long"))
+    assert seen.count() == 1000 and seen.where("depth <> 999 - node").count() == 0
+    up = graph.ancestors(edges.where("child < 40"))
+    assert up.count() == 39 * 40 // 2 and up.where("distance <> child - parent").count() == 0
+    with pytest.raises(RecursionError):
+        graph.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "child int, parent int"))
+
+
+def test_row_rules_and_opened_store(spark, tmp_path):
+    key = lambda n: bytes([n]) * 16
+    good = ("t", key(1), key(2), 1, 1, 1, "a", "a", 1, 420, 5, b"h", "", 4, 3, 2, 1, True, True, False)
+    bad = [(*good[:10], -1, *good[11:]), (*good[:13], 1, 2, 2, 1, *good[17:]), (*good[:1], b"short", *good[2:])]
+    table = spark.createDataFrame([good, *bad], schema.VERSIONS)
+    assert sorted(r.rule for r in schema.row_violations(table).collect()) == ["identity", "proof order", "size"]
+    table.write.parquet(f"{tmp_path}/v")
+    assert schema.opened(spark, f"{tmp_path}/v", schema.VERSIONS).count() == 4
+    with pytest.raises(schema.SchemaMismatch):
+        schema.opened(spark, f"{tmp_path}/v", schema.INBOX)
+
+
+def test_applied_stream_is_published_once(spark, tmp_path):
+    from revlake.streaming import apply
+
+    table = manifest.Table(spark, f"{tmp_path}/t", apply.SCHEMA)
+    batch = spark.createDataFrame([("a", 1, "upsert", "f1", "i1", "x"), ("a", 2, "upsert", "f2", "i1", "y"), ("b", 1, "upsert", "f3", "i2", "z")], apply.CHANGE)
+    first = apply.apply_batch(batch, 0, table)
+    assert apply.apply_batch(batch, 0, table).revision == first.revision == 1
+    assert rows(table.read().select("object_id", "fingerprint")) == [("a", "f2"), ("b", "f3")]
+    # unchanged ones are suppressed, so nothing is published; a delete is; a new id of a known identity is a rename
+    assert apply.apply_batch(batch.where("revision = 2"), 1, table).revision == 1
+    moved = spark.createDataFrame([("b", 3, "delete", None, "i2", None), ("c", 3, "upsert", "f3", "i2", "z2")], apply.CHANGE)
+    assert rows(apply.renames(moved, table.read())) == [("b", "c")]
+    assert apply.apply_batch(moved, 2, table).revision == 2
+    assert rows(table.read().select("object_id")) == [("a",), ("c",)]
+    with pytest.raises(apply.SnapshotRequired):
+        apply.apply_batch(moved.withColumn("revision", F.lit(9).cast("long")), 3, table, expected_from=5)
+    repaired = apply.repair(lambda: batch.where("object_id = 'b'"), table, "r1")
+    assert repaired.revision == 3 and rows(table.read().select("object_id")) == [("b",)]
 
 
 def test_names_and_flags(spark):
@@ -121,14 +189,15 @@ def test_ledger_is_exactly_once(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    from revlake.sources.connector import RevisionLog
+    from revlake.sources import connector
 
-    spark.dataSource.register(RevisionLog)
+    spark.dataSource.register(connector.RevisionLog)
     log = tmp_path / "log"
     log.mkdir()
     (log / f"{1:012d}.jsonl").write_text('{"object_id": "a", "action": "upsert", "name": "x"}\n')
     (log / f"{2:012d}.jsonl").write_text('{"object_id": "a", "action": "delete"}\n{"object_id": "b", "action": "upsert"}\n')
     assert spark.read.format("revision_log").option("path", str(log)).load().count() == 3
+    assert rows(connector.snapshot(spark, str(log)).select("object_id", "revision")) == [("b", 2)]
     src = tmp_path / "src"
     spark.createDataFrame([("t", 3), ("t", 9), ("u", 4)], "tenant string, revision long").write.parquet(str(src))
     stream = spark.readStream.schema("tenant string, revision long").parquet(str(src))
