@@ -45,3 +45,18 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> Dat
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     return own.join(sizes, same).withColumn(name, (F.col("_base") + F.col("_n") - 1).cast("long")).select(*df.columns, name)
+
+
+def lagged(df: DataFrame, keys: list[str], order: list[str], columns: list[str], name: str) -> DataFrame:
+    """Adds the struct of columns of the row before, within a key; for few keys with many rows each. Rows are dealt by
+    ranges of (keys, order); the first row of a range takes the last one of the range before."""
+    parted = kept(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    lasts = parted.groupBy(*keys, "_p").agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"))
+    before = lasts.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_p")))
+    before = before.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_p").alias("_q"), "_carried")
+    w = Window.partitionBy(*keys, "_p").orderBy(*order)
+    own = parted.withColumn("_own", F.lag(F.struct(*columns)).over(w)).withColumn("_n", F.row_number().over(w))
+    same = F.col("_p") == F.col("_q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return own.join(before, same).select(*df.columns, F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_own")).alias(name))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from revlake.operators.asof import lagged
+
 
 class StaleAnchorError(ValueError):
     def __init__(self, anchor: int, floor: int):
@@ -38,10 +40,14 @@ def byte_bounded(df: DataFrame, key: str, size: str, cap: int, limit: int, group
     return out.where(((F.col("running_bytes") <= cap) | (F.col("_rn") == 1)) & (F.col("_rn") <= limit)).drop("_rn")
 
 
-def order_violations(df: DataFrame, group: list[str], arrival: str, keys: list[str]) -> DataFrame:
-    """Rows that don't come strictly after the one before them."""
-    before = F.lag(F.struct(*keys)).over(Window.partitionBy(*group).orderBy(arrival))
-    return df.withColumn("_before", before).where(F.col("_before").isNotNull() & ~(F.struct(*keys) > F.col("_before"))).drop("_before")
+def order_violations(df: DataFrame, group: list[str], arrival: str, keys: list[str], few_groups: bool = False) -> DataFrame:
+    """Rows that don't come strictly after the one before them. few_groups: groups are few and large, so each is checked
+    in ranges of the arrival."""
+    if few_groups:
+        rows = lagged(df, group, [arrival], keys, "_before")
+    else:
+        rows = df.withColumn("_before", F.lag(F.struct(*keys)).over(Window.partitionBy(*group).orderBy(arrival)))
+    return rows.where(F.col("_before").isNotNull() & ~(F.struct(*keys) > F.col("_before"))).drop("_before")
 
 
 def keyed_lookup(request: DataFrame, target: DataFrame, on: list[str]) -> DataFrame:

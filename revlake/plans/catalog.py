@@ -174,7 +174,7 @@ def byte_bounded_page(t):
 
 @query("SELECT tenant, revision, parent_id FROM (SELECT *, lag(parent_id) OVER (PARTITION BY tenant ORDER BY revision) AS p FROM versions) WHERE p IS NOT NULL AND NOT parent_id > p")
 def page_order_check(t):
-    return paging.order_violations(t.versions, ["tenant"], "revision", ["parent_id"]).select("tenant", "revision", "parent_id")
+    return paging.order_violations(t.versions, ["tenant"], "revision", ["parent_id"], few_groups=True).select("tenant", "revision", "parent_id")
 
 
 @query("SELECT object_id, revision, size FROM versions ORDER BY object_id, revision LIMIT 101")
@@ -256,7 +256,7 @@ def change_version_join(t):
 
 @query("SELECT tenant, parent_id, revision, CAST(row_number() OVER (PARTITION BY tenant, parent_id ORDER BY revision, name) - 1 AS BIGINT) AS sequence FROM versions")
 def change_sequencing(t):
-    return asof.dense_number(t.versions, ["tenant", "parent_id"], ["revision", "name"], "sequence").select("tenant", "parent_id", "revision", "sequence")
+    return asof.numbered(t.versions, ["tenant", "parent_id"], ["revision", "name"], "sequence").select("tenant", "parent_id", "revision", "sequence")
 
 
 @query("SELECT object_id, kind, CAST(CASE kind WHEN 'upsert' THEN 2147483648 ELSE 0 END + row_number() OVER (PARTITION BY parent_id ORDER BY object_id, revision) - 1 AS BIGINT) AS sequence FROM (SELECT *, CASE WHEN tombstone THEN 'delete' ELSE 'upsert' END AS kind FROM staged)")
