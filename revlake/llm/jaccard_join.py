@@ -11,17 +11,20 @@ triangle inequality, also to those of pivots at most 2r farther (r: the largest
 recursively with new pivots, down to regions whose documents have all been pivots or are connected already. Distances to
 pivots are exact, so the links fall out on the way. Regions of over LEAF documents that pivots cannot part (nearly all
 of them lie within the windows of one another) are taken apart by their rarest shingles instead. Provinces with more
-than `province` documents or `volume` shingles go through the same step as distributed rounds that move ids, and a
-region that its pivots cannot part is dealt into pairs of blocks, so what a task holds is bounded in documents and bytes.
+than `province` documents or `volume` shingles are parted by keys of single shingles first; what is still larger goes
+through the same step as distributed rounds that move ids, and a region that its pivots cannot part is dealt into pairs
+of blocks, so what a task holds is bounded in documents and bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlake.llm.common import Stored, connected_components, stored
@@ -45,8 +48,10 @@ def classes(limit: int, num: int, den: int) -> tuple[int, int]:
     return differ, differ + 1 + (differ + 3) // 6
 
 
-def keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of a set, of which any linked set has one too."""
+def ranged_keys(s: np.ndarray, num: int, den: int) -> list[tuple[int, np.ndarray]]:
+    """For each size range of a set (most shingles that a linked pair differs in there, keys). A shingle lies in one class,
+    so of n keys of a range at most `differ` are not shared with a linked set, and of any order of all keys that
+    both sets go by, the first differ + 1 of either set contain one that is shared."""
     out = []
     x, y = mixed(s * A), mixed(s * B)
     for i in size_ranges(len(s), num, den) if len(s) else ():
@@ -60,8 +65,13 @@ def keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         if len(named) <= differ:  # so few classes have shingles that a pair may agree on empty ones alone
             rest = np.setdiff1d(np.arange(m, dtype=np.uint64), named)
             named, digest = np.concatenate([named, rest]), np.concatenate([digest, np.zeros(len(rest), np.uint64)])
-        out.append(mixed(digest ^ mixed((named + np.uint64(i << 32)) * C)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out.append((differ, mixed(digest ^ mixed((named + np.uint64(i << 32)) * C))))
+    return out
+
+
+def keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Keys of a set, of which any linked set has one too."""
+    return np.concatenate([np.zeros(0, np.uint64), *(k for _, k in ranged_keys(s, num, den))])
 
 
 class Forest:
@@ -216,19 +226,41 @@ class Region:
 
 
 def sets_of(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, text) to (doc_id, n_shingles, digest, keys)."""
+    """(doc_id, text) to (doc_id, n_shingles, digest, ranges): of each size range what may differ, and the keys."""
+    kind = pa.list_(pa.struct([("differ", pa.int32()), ("keys", pa.list_(pa.int64()))]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 sets = shingles(part.column(1).to_pylist(), words)
-                made = [keys(s, num, den).view(np.int64) for s in sets]
+                made = [ranged_keys(s, num, den) for s in sets]
                 digests = [f"{int(s.sum(dtype=np.uint64)):016x}{int(np.bitwise_xor.reduce(mixed(s * C), initial=np.uint64(0))):016x}{len(s):x}" for s in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(made)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests), lists], names=["doc_id", "n_shingles", "digest", "keys"])
-
-    return docs.mapInArrow(cut, "doc_id long, n_shingles long, digest string, keys array<long>")
+                each = [x for m in made for x in m]
+                flat = np.concatenate([np.zeros(0, np.uint64), *(k for _, k in each)]).view(np.int64)
+                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(k) for _, k in each)]), pa.int32()), pa.array(flat))
+                ranges = pa.StructArray.from_arrays([pa.array([d for d, _ in each], pa.int32()), inner], fields=list(kind.value_type))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, made)]), pa.int32()), ranges)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests), lists.cast(kind)], names=["doc_id", "n_shingles", "digest", "ranges"])
+
+    return docs.mapInArrow(cut, "doc_id long, n_shingles long, digest string, ranges array<struct<differ: int, keys: array<long>>>")
+
+
+def near_pairs(stands: DataFrame) -> Stored:
+    """stands (id, ranges): (a, b) that connect all linked documents. Keys go from rare to frequent, and of each range of
+    a document only the first differ + 1 count; those that nobody shares come first. So passages that many documents
+    have in common, whose keys are the frequent ones, do not connect documents that differ otherwise. Frequencies and
+    least ids are summed up on the way, so a hot key is no hot task, and joins on it may be split."""
+    each = stands.select("id", F.posexplode("ranges").alias("r", "x")).select("id", "r", F.col("x.differ").alias("differ"), F.size("x.keys").alias("n"), F.explode("x.keys").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = Stored(each.join(often.hint("merge"), "key"), "jaccard-shared")
+    own = Window.partitionBy("id", "r")
+    first = F.row_number().over(own.orderBy("c", "key")) + F.col("n") - F.count("*").over(own) <= F.col("differ") + 1
+    kept = Stored(shared.df.withColumn("_first", first).where("_first").select("key", "id"), "jaccard-kept")
+    shared.drop()
+    least = kept.df.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").select("key", "b")
+    near = Stored(kept.df.join(least.hint("merge"), "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "jaccard-near")
+    kept.drop()
+    return near
 
 
 ROW = "region long, id long, shingles array<long>"
@@ -270,7 +302,14 @@ def _solved(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("region", "id", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(solve, "a long, b long, by_pivots long")
 
 
-def _voronoi(rows: DataFrame, num: int, den: int, level: int, province: int, volume: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+class Blocks(NamedTuple):
+    """Pairs of blocks as regions, and the table that they are read from."""
+
+    source: Stored
+    df: DataFrame
+
+
+def _voronoi(rows: DataFrame, num: int, den: int, level: int, province: int, volume: int) -> tuple[DataFrame, DataFrame, Blocks]:
     """One distributed round over ROW: links to the regions' pivots (a, b), the rows of the new regions, and those of
     regions that the pivots could not part, dealt into pairs of blocks. Distances move as ids; shingles join them after."""
     dealt = rows.withColumn("at", F.xxhash64("id", F.lit(level))).withColumn("size", F.size("shingles"))
@@ -311,33 +350,58 @@ def _voronoi(rows: DataFrame, num: int, den: int, level: int, province: int, vol
     # what the pivot with most links holds together needs no pairs of its own: the others meet everyone, block by block
     main = found.groupBy("parent", "other").count().groupBy("parent").agg(F.max_by("other", F.struct("count", "other")).alias("other"))
     held = found.join(main, ["parent", "other"], "left_semi").select(F.col("parent").alias("region"), "id").distinct().withColumn("held", F.lit(True))
-    rest = stored(rows.join(stuck.select("region"), "region", "left_semi").join(held, ["region", "id"], "left").select("region", "id", "shingles", F.coalesce("held", F.lit(False)).alias("held")), "jaccard-blocks")
+    source = Stored(rows.join(stuck.select("region"), "region", "left_semi").join(held, ["region", "id"], "left").select("region", "id", "shingles", F.coalesce("held", F.lit(False)).alias("held")), "jaccard-blocks")
+    rest = source.df
     blocks = lambda many: F.greatest(F.ceil(F.sum(many.cast("long")) * 2 / province), F.ceil(F.sum(F.when(many, F.size("shingles")).otherwise(0)) * 2 / volume)).cast("int")
     size = rest.groupBy("region").agg(blocks(~F.col("held")).alias("odd"), blocks(F.lit(True)).alias("all")).where("odd > 0")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("id", F.lit(level)), F.col(n)).cast("int")
     odd = rest.where(~F.col("held")).join(size, "region").withColumn("i", own("odd")).withColumn("j", spread("all"))
     everyone = rest.join(size, "region").withColumn("j", own("all")).withColumn("i", spread("odd"))
-    pairs = odd.select("region", "i", "j", "id", "shingles").unionByName(everyone.select("region", "i", "j", "id", "shingles")).dropDuplicates(["region", "i", "j", "id"])
-    return found.select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(1).cast("long").alias("by_pivots")), onward, pairs.select(F.xxhash64("region", "i", "j").alias("region"), "id", "shingles")
+    everyone = everyone.where(F.col("held") | (F.col("i") != own("odd")))  # there the row of odd stands already
+    pairs = odd.select("region", "i", "j", "id", "shingles").unionByName(everyone.select("region", "i", "j", "id", "shingles"))
+    return found.select(F.col("id").alias("a"), F.col("other").alias("b"), F.lit(1).cast("long").alias("by_pivots")), onward, Blocks(source, pairs.select(F.xxhash64("region", "i", "j").alias("region"), "id", "shingles"))
 
 
 def links(rows: DataFrame, num: int, den: int, province: int = PROVINCE, volume: int = VOLUME) -> DataFrame:
     """ROW, with one row of each (region, id): (a, b, by_pivots) enough exact links within regions to connect all that
     is linked; the sum of by_pivots tells how many of them were distances to pivots."""
-    out, level = None, 0
+    def too_large(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("region").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("v"))
+        return sizes.where((F.col("m") > province) | (F.col("v") > volume) & (F.col("m") > 2 * PIVOTS)).select("region")
+
+    out, level, onward = [], 0, None
+    if too_large(rows).limit(1).count():
+        # what keys of whole classes have put together is parted by single shingles first: a set shares all but
+        # n - ceil(t * n) of its own with each set that it is linked to
+        big = stored(too_large(rows), "jaccard-named")
+        out.append(stored(_solved(rows.join(big, "region", "left_anti"), num, den), "jaccard-links"))
+        large = Stored(rows.join(big, "region", "left_semi").select("id", "shingles"), "jaccard-big")
+        n = F.size("shingles")
+        differ = (n - F.ceil(n * num / den)).cast("int")
+        near = near_pairs(large.df.select("id", F.array(F.struct(differ.alias("differ"), F.col("shingles").alias("keys"))).alias("ranges")))
+        parts = connected_components(near.df.select(F.explode(F.array("a", "b")).alias("id")).distinct(), near.df).withColumnRenamed("component", "region")
+        onward = Stored(large.df.join(parts.hint("merge"), "id").select("region", "id", "shingles"), "jaccard-onward")
+        near.drop()
+        large.drop()
+        rows = onward.df
     while True:
-        big = rows.groupBy("region").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("v")).where((F.col("m") > province) | (F.col("v") > volume) & (F.col("m") > 2 * PIVOTS)).select("region")
+        big = too_large(rows)
         if not big.limit(1).count():
             break
-        rest = _solved(rows.join(big, "region", "left_anti"), num, den)
-        to_pivots, onward, blocks = _voronoi(stored(rows.join(big, "region", "left_semi").select("region", "id", "shingles"), "jaccard-big"), num, den, level, province, volume)
-        for part in (rest, to_pivots, _solved(blocks, num, den)):
-            out = part if out is None else out.unionByName(part)
+        big = Stored(big, "jaccard-named").df
+        out.append(stored(_solved(rows.join(big, "region", "left_anti"), num, den), "jaccard-links"))
+        parted = Stored(rows.join(big, "region", "left_semi").select("region", "id", "shingles"), "jaccard-big")
+        if onward:
+            onward.drop()
+        to_pivots, further, blocks = _voronoi(parted.df, num, den, level, province, volume)
+        onward = Stored(further, "jaccard-onward")
+        parted.drop()
+        out += [to_pivots, stored(_solved(blocks.df, num, den), "jaccard-links")]
+        blocks.source.drop()
         # each region on the way has at most half of its parent's documents
-        rows, level = stored(onward, "jaccard-onward"), level + 1
-    rest = _solved(rows, num, den)
-    return rest if out is None else out.unionByName(rest)
+        rows, level = onward.df, level + 1
+    return reduce(DataFrame.unionByName, [*out, stored(_solved(rows, num, den), "jaccard-links")])
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, province: int = PROVINCE, volume: int = VOLUME) -> DataFrame:
@@ -351,11 +415,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = Stored(sets_of(docs, words, num, den), "jaccard-sets")
     heads = stored(made.df.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")).where("id is not null"), "jaccard-heads")
-    # keys of one document of each different set; a hot key is summed up on the way and may be split in the join
+    # one document stands for all with its very set
     stands = made.df.join(heads, (made.df["digest"] == heads["digest"]) & (made.df["doc_id"] == heads["id"])).dropDuplicates(["id", "digest"])
-    keyed = stands.select(F.explode("keys").alias("key"), "id")
-    least = keyed.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").select("key", "b")
-    near = Stored(keyed.join(least.hint("merge"), "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "jaccard-near")
+    near = near_pairs(stands.select("id", "ranges"))
     slim = stored(made.df.select("doc_id", "n_shingles", "digest"), "jaccard-slim")
     made.drop()
     members = near.df.select(F.explode(F.array("a", "b")).alias("id")).distinct()

@@ -6,7 +6,7 @@ each ROWS of them are a band. Short lines, whose minima repeat each other, have
 are candidates if they share a band and, unless one is short, AGREE of their minima (sets of similarity 0.8 agree in 17
 of 21 on average, in fewer than 12 once in some hundred pairs). Every candidate pair is verified exactly or lies in one
 component already: in the first round each line meets the least line of its bands; in round t it meets those lines of
-its bands whose number, a hash in [0, 1), is below 4^t / (lines in the band), as long as the band has lines of different
+its bands whose number, a hash in [0, 1), is below STEP^t / (lines in the band), as long as the band has lines of different
 components. So a band of n variants of one line costs n comparisons, and unrelated lines in a band meet in steps, never
 as all pairs at once. Components come from distributed union-find, and of each the first occurrence stays.
 
@@ -26,6 +26,8 @@ from revlake.llm.common import Stored, connected_components, packed, unpacked
 SHINGLE, ROWS, BANDS, AGREE = 8, 3, 7, 12
 #: Lines of at most SHORT bytes have bands of two minima besides, and need not agree in AGREE.
 SHORT = 64
+#: By how much the centres of a band grow in number from round to round.
+STEP = 16.0
 MINIMA = [f"m{j}" for j in range(ROWS * BANDS)]
 
 
@@ -132,8 +134,8 @@ def components(lines: DataFrame, num: int, den: int) -> DataFrame:
         rest = Stored(named.join(mixed.hint("merge"), "band", "left_semi"), "line-open")
         open_ones.drop()
         open_ones, t = rest, t + 1
-        share = F.lit(4.0**t) / F.col("m")
-        centres = rest.df.where((number < share) & (number >= share / 4 if t > 1 else F.lit(True)))
+        share = F.lit(STEP**t) / F.col("m")
+        centres = rest.df.where((number < share) & (number >= share / STEP if t > 1 else F.lit(True)))
         others = rest.df.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
         pairs = centres.select("band", F.col("node").alias("a"), F.col("component").alias("ca")).join(others.hint("merge"), "band").where("ca <> cb")
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -142,7 +144,7 @@ def components(lines: DataFrame, num: int, den: int) -> DataFrame:
             after = merged(known.df, links.df)
             known.drop()
             known = after
-        if not rest.df.where(F.col("m") > 4.0**t).limit(1).count():  # else some have been no centre yet
+        if not rest.df.where(F.col("m") > STEP**t).limit(1).count():  # else some have been no centre yet
             break
     out = Stored(known.df.where("node <> component"), "line-parts")
     for x in (known, open_ones, nodes, signatures, texts, links):

@@ -155,3 +155,22 @@ def test_line_recall_against_all_pairs(spark):
     parts = {r.node: r.component for r in line_dedup.components(common.stored(rows, "test-lines"), 80, 100).collect()}
     together = sum(parts.get(i, i) == parts.get(j, j) for i, j in linked)
     assert len(linked) > 150 and together >= 0.99 * len(linked)
+
+
+def test_models_on_no_rows_and_on_very_long_texts(spark, tmp_path):
+    import public_tokenizers
+    from revlake.llm import quality, token_counts, toxicity
+
+    known = spark.createDataFrame([(i, f"plain text number {i} with more words {'awfulword ' * (i % 2)}", i % 2) for i in range(300)], "doc_id long, text string, toxic int")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    none = known.limit(0).drop("toxic")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert toxicity.toxicity(none, known).count() == 0 and toxicity.reject(none, known).count() == 0
+    assert quality.quality(none, marks).count() == 0
+    assert token_counts.token_counts(none, path, f"{tmp_path}/none").count() == 0
+    long = "plain text with more words\n" * 6000
+    docs = spark.createDataFrame([(1, long), (2, long + "awfulword awfulword awfulword"), (3, "x" * 200_000)], "doc_id long, text string")
+    found = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, known).collect()}
+    assert found[1] == 0 and found[2] == 1
+    assert {r.doc_id: r.n_lines for r in quality.quality(docs, marks).collect()}[1] >= 6000
+    assert {r.doc_id: r.over_limit for r in token_counts.token_counts(docs, path, f"{tmp_path}/long").collect()} == {1: True, 2: True, 3: True}
