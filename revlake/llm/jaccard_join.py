@@ -31,7 +31,7 @@ from revlake.llm.common import Stored, connected_components, stored
 from revlake.llm.hashing import mixed, shingles, slices
 
 RANGE = 1.5
-PIVOTS, LEAF, PROVINCE, VOLUME = 8, 256, 5_000, 2_000_000
+PIVOTS, LEAF, PROVINCE, VOLUME, SLICES = 8, 256, 5_000, 2_000_000, 4
 A, B, C = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -249,14 +249,20 @@ def near_pairs(stands: DataFrame) -> Stored:
     """stands (id, ranges): (a, b) that connect all linked documents. Keys go from rare to frequent, and of each range of
     a document only the first differ + 1 count; those that nobody shares come first. So passages that many documents
     have in common, whose keys are the frequent ones, do not connect documents that differ otherwise. Frequencies and
-    least ids are summed up on the way, so a hot key is no hot task, and joins on it may be split."""
+    least ids are summed up on the way, so a hot key is no hot task, and joins on it may be split. Keys are counted in
+    SLICES, one after another: the shuffle files of one go before the next one's are written."""
     each = stands.select("id", F.posexplode("ranges").alias("r", "x")).select("id", "r", F.col("x.differ").alias("differ"), F.size("x.keys").alias("n"), F.explode("x.keys").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = Stored(each.join(often.hint("merge"), "key"), "jaccard-shared")
+    shared = []
+    for k in range(SLICES):
+        part = each.where(F.pmod("key", F.lit(SLICES)) == k)
+        often = part.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        shared.append(Stored(part.join(often.hint("merge"), "key"), "jaccard-shared"))
     own = Window.partitionBy("id", "r")
     first = F.row_number().over(own.orderBy("c", "key")) + F.col("n") - F.count("*").over(own) <= F.col("differ") + 1
-    kept = Stored(shared.df.withColumn("_first", first).where("_first").select("key", "id"), "jaccard-kept")
-    shared.drop()
+    whole = reduce(DataFrame.unionByName, [x.df for x in shared])
+    kept = Stored(whole.withColumn("_first", first).where("_first").select("key", "id"), "jaccard-kept")
+    for x in shared:
+        x.drop()
     least = kept.df.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("most")).where("b < most").select("key", "b")
     near = Stored(kept.df.join(least.hint("merge"), "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "jaccard-near")
     kept.drop()
@@ -413,13 +419,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     columns are not read. Sets are compared by 64-bit hashes of shingles.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = Stored(sets_of(docs, words, num, den), "jaccard-sets")
-    heads = stored(made.df.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")).where("id is not null"), "jaccard-heads")
+    made = Stored(sets_of(docs, words, num, den).withColumn("nth", F.monotonically_increasing_id()), "jaccard-sets")  # nth is final once stored
+    least = made.df.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "nth")).alias("h"))
+    named = stored(least.select("digest", F.col("h.doc_id").alias("id"), "h.nth"), "jaccard-heads")
+    heads = named.select("digest", "id")
     # one document stands for all with its very set
-    stands = made.df.join(heads, (made.df["digest"] == heads["digest"]) & (made.df["doc_id"] == heads["id"])).dropDuplicates(["id", "digest"])
-    near = near_pairs(stands.select("id", "ranges"))
+    stands = made.df.select("nth", F.col("doc_id").alias("id"), "ranges").join(named.select("nth").hint("merge"), "nth", "left_semi")
+    stands = Stored(stands.select("id", "ranges"), "jaccard-stands")
     slim = stored(made.df.select("doc_id", "n_shingles", "digest"), "jaccard-slim")
     made.drop()
+    near = near_pairs(stands.df)
+    stands.drop()
     members = near.df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     provinces = stored(connected_components(members, near.df).withColumnRenamed("component", "region"), "jaccard-provinces")
     near.drop()
