@@ -100,15 +100,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, pieces_per_group
     return dealt.groupBy("_group").applyInPandas(fill, PIECES + ", sequence_id long, offset long")
 
 
-def pack_mixed(docs: DataFrame, tokenizer: str, weights: dict[str, int], capacity: int = 2048, pieces_per_group: int = 1024) -> DataFrame:
-    """As pack, but in the order of the mixture of docs' sources: pieces are numbered in it, each stretch of
+def pack_mixed(docs: DataFrame, tokenizer: str, weights: dict[str, int], capacity: int = 2048, pieces_per_group: int = 1024, position: str | None = None) -> DataFrame:
+    """As pack, but in the order of the mixture of docs' sources, or of docs' column `position` (whole numbers, each once)
+    where they have been mixed already: pieces are numbered in it, each stretch of
     pieces_per_group numbers is packed on its own, and sequence_id goes up with the stretches, within one with the least
     number in the sequence. So any run of stretches has each source's documents in its share, to a block or two. A very
     long document spreads over as many stretches as it fills."""
-    named = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", F.monotonically_increasing_id().alias("_doc"))
+    doc = F.col(position).cast("long") if position else F.monotonically_increasing_id()
+    named = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", doc.alias("_doc"))
     cut = stored(pieces(named, tokenizer, capacity, ("_doc", "source")), "pieces")  # ids are final once stored
     each = cut.where("start = 0").select("_doc", "doc_id", "source", F.ceil(F.col("doc_tokens") / capacity).alias("_n"))
-    mixed = mixing.mix(each, weights).withColumn("_all", F.lit(0)).select("_doc", "position", "_n", "_all")
+    mixed = each.withColumn("position", F.col("_doc")) if position else mixing.mix(each, weights)
+    mixed = mixed.withColumn("_all", F.lit(0)).select("_doc", "position", "_n", "_all")
     starts = mixing._before(stored(mixed, "mixed"), ["_all"], "position", "_n", "_first").select("_doc", "_first")
     number = F.col("_first") + F.floor(F.col("start") / capacity)
     dealt = cut.drop("source").join(starts, "_doc").withColumn("_number", number).withColumn("_group", F.floor(F.col("_number") / pieces_per_group)).drop("_doc", "_first")

@@ -3,7 +3,7 @@
 import collections
 
 import corpus_pipeline
-from revlake.llm import common, jaccard_join
+from revlake.llm import common, jaccard_join, mixing
 
 DATA = "/root/testdata/sf0.001"
 
@@ -40,3 +40,22 @@ def test_packed_sequences_follow_the_mixture(spark):
     for g in range(4):  # until the 4,000 documents of src0 are used up
         n = groups[g]["src0"] + groups[g]["x"]
         assert abs(groups[g]["src0"] - n * 0.8) <= 128
+
+
+def test_packing_takes_its_order_from_the_mixing_stage(spark, monkeypatch):
+    rows = [(i, f"short text {i}", ("src0", "x")[i % 2]) for i in range(5000)] + [(7, "short text 7", "x"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    order = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda d, weights: order(d, {"x": 9}))  # another mixture than packing would make
+    mixed = common.stored(corpus_pipeline.mixing_stage(spark, docs, DATA), "test-mixed")
+    monkeypatch.setattr(mixing, "mix", order)
+    got = corpus_pipeline.packing_stage(spark, mixed, DATA).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r[0] for r in rows)
+    first = collections.Counter(r.doc_id % 2 for r in got if r.sequence_id >> 32 == 0 and r.doc_id is not None)
+    assert first[1] > 5 * first[0] > 0
+    want = [r.doc_id for r in order(docs, {"x": 9}).orderBy("position").limit(1024).collect()]
+    assert collections.Counter(r.doc_id for r in got if r.sequence_id >> 32 == 0) == collections.Counter(want)
+    # a table that is in no such order, or a part of one, is mixed
+    for other in (common.stored(docs, "test-unmixed"), mixed.where("doc_id is null or doc_id >= 0 or true").repartition(3)):
+        first = collections.Counter(r.doc_id % 2 for r in corpus_pipeline.packing_stage(spark, other, DATA).collect() if r.sequence_id >> 32 == 0 and r.doc_id is not None)
+        assert first[0] > 3 * first[1]
