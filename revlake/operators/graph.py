@@ -10,12 +10,13 @@ from revlake.plans.store import kept
 
 def closure(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
     """edges (child, parent), roots (node): (node, depth) of all that roots reach upwards. Visited nodes are dropped
-    from the frontier, so cycles end; each round joins the frontier alone."""
+    from the frontier, so cycles end; each round joins the frontier alone. What has been seen grows
+    with the tables and is joined by merging, so it never goes through the driver."""
     seen = kept(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for depth in range(1, most + 1):
         step = frontier.select(F.col("node").alias("child")).join(edges, "child").select(F.col("parent").alias("node")).where("node is not null").distinct()
-        frontier = kept(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = kept(step.join(seen.hint("merge"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             return seen
         seen = seen.unionByName(frontier)
@@ -43,17 +44,18 @@ def lineage(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, depth) along predecessor chains, each child with one parent at most. Path doubling: every node's jump goes
     twice as far each round, and the reached nodes grow by what their jumps reach, so a chain of n links takes log2(n)
     joins of tables written once."""
-    jumps = kept(edges.where("parent is not null").select("child", "parent"))
+    # merge joins: frontiers and jumps grow with the tables, so none of them goes through the driver
+    jumps = kept(edges.where("parent is not null").select("child", "parent").distinct())
     reached = kept(roots.select("node", F.lit(0).alias("depth")))
     step = 1
     while True:
-        more = kept(reached.join(jumps, reached["node"] == jumps["child"]).select(F.col("parent").alias("node"), (F.col("depth") + step).alias("depth")))
+        more = kept(reached.join(jumps.hint("merge"), reached["node"] == jumps["child"]).select(F.col("parent").alias("node"), (F.col("depth") + step).alias("depth")))
         if not more.limit(1).count():
             return reached
         if step > 1 << 40:
             raise RecursionError("the edges have a cycle")
         reached = kept(reached.unionByName(more).groupBy("node").agg(F.min("depth").alias("depth")))
-        far = jumps.select(F.col("child").alias("parent"), F.col("parent").alias("far"))
+        far = jumps.select(F.col("child").alias("parent"), F.col("parent").alias("far")).hint("merge")
         jumps, step = kept(jumps.join(far, "parent").select("child", F.col("far").alias("parent"))), step * 2
 
 

@@ -204,3 +204,10 @@ def test_streams(spark, tmp_path):
     q = ledger.coalesced(stream).writeStream.outputMode("update").format("memory").queryName("newest").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("newest")) == [("t", 9), ("u", 4)]
+
+
+def test_nothing_that_grows_is_broadcast_for_pending_targets(spark):
+    from revlake.plans import catalog, writes  # noqa: F401  writes registers the query
+
+    plan = catalog.QUERIES["pending_targets"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
