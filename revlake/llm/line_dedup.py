@@ -29,6 +29,8 @@ SHORT = 64
 #: By how much the centres of a band grow in number from round to round.
 STEP = 16.0
 MINIMA = [f"m{j}" for j in range(ROWS * BANDS)]
+#: 256 bits, of which each shingle sets one.
+SKETCH = [f"s{k}" for k in range(4)]
 
 
 def normalised(line: Column) -> Column:
@@ -62,21 +64,23 @@ def mask(j: int) -> int:
 
 
 def signed(lines: DataFrame) -> DataFrame:
-    """lines (node, rid, line) to (node, rid, size, minima): a row of each node, with the least rid."""
+    """lines (node, rid, line) to (node, rid, size, minima, sketch): a row of each node, with the least rid."""
     each = lines.select("node", "rid", F.col("line").cast("binary").alias("b"))
     each = each.select("node", "rid", F.octet_length("b").alias("size"), "b", F.explode(places(F.col("b"))).alias("i"))
     each = each.select("node", "rid", "size", F.hash(F.substring("b", F.col("i"), F.lit(SHINGLE))).alias("h"))
+    bit = F.expr("shiftleft(1L, h >>> 2)")
+    sketch = [F.bit_or(F.when(F.col("h").bitwiseAND(F.lit(3)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(s) for k, s in enumerate(SKETCH)]
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(mask(j)))).alias(m) for j, m in enumerate(MINIMA)]
-    return each.groupBy("node").agg(F.min("rid").alias("rid"), F.max("size").alias("size"), *minima)
+    return each.groupBy("node").agg(F.min("rid").alias("rid"), F.max("size").alias("size"), *minima, *sketch)
 
 
 def banded(signatures: DataFrame) -> DataFrame:
-    """(node, rid, band): a row of each band."""
+    """(node, band): a row of each band."""
     of = lambda *at: F.xxhash64(F.lit(at[0]), F.lit(len(at)), *(F.col(MINIMA[j]) for j in at))
     whole = [of(*range(ROWS * k, ROWS * (k + 1))) for k in range(BANDS)]
     pairs = [of(j, j + BANDS * k) for k in range(1, ROWS) for j in range(BANDS)]
     bands = F.when(F.col("size") <= SHORT, F.array(*whole, *pairs)).otherwise(F.array(*whole))
-    return signatures.select("node", "rid", F.explode(bands).alias("band"))
+    return signatures.select("node", F.explode(bands).alias("band"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -86,16 +90,50 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "uid", "line_no", F.xxhash64("line").alias("node"), "line")
 
 
-def verified(pairs: DataFrame, signatures: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) whose minima agree and whose lines' sets are at least num / den alike; signatures (node, size,
-    minima), texts (node, line binary)."""
+def places_in(size: str) -> Column:
+    """How many shingles a line of `size` bytes has at most."""
+    return F.greatest(F.col(size) - (SHINGLE - 1), F.lit(1))
+
+
+def marks(line: Column) -> Column:
+    """16 bits of the hash of each shingle of a binary line, each once. Sets of marks differ in no more elements than the
+    sets of shingles do, and for lines of ordinary length in hardly fewer."""
+    return F.array_distinct(F.transform(places(line), lambda i: F.shiftright(F.hash(F.substring(line, i, F.lit(SHINGLE))), 16).cast("short")))
+
+
+def unlike(x: str, y: str, num: int, den: int) -> Column:
+    """Whether rows' sketches alone tell that sets x and y are less than num / den alike: each bit that only one sketch has
+    comes from a shingle that only one line has, and sets so alike differ in (den - num) / (den + num) of their sizes' sum
+    at most. Sizes are numbers of places, thus not too small. No linked pair is lost."""
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{s}_{x}").bitwiseXOR(F.col(f"{s}_{y}"))) for s in SKETCH])
+    return apart * (den + num) > (places_in(f"size_{x}") + places_in(f"size_{y}")) * (den - num)
+
+
+def verified(pairs: DataFrame, signatures: DataFrame, lines: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Those of pairs (a, b) whose minima agree and whose lines' sets are at least num / den alike, and those whose minima
+    agree; signatures (node, rid, size, minima, sketch), lines (rid, line). Texts are moved once, of the lines that are left;
+    then pairs are held against each other by their marks, which a line has worked out once for all of its pairs."""
     side = lambda df, x: df.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in df.columns)).hint("merge")
-    near = pairs.join(side(signatures, "a"), "a").join(side(signatures, "b"), "b")
     agree = reduce(Column.__add__, [(F.col(f"{m}_a") == F.col(f"{m}_b")).cast("int") for m in MINIMA])
-    near = near.where((agree >= AGREE) | (F.least("size_a", "size_b") <= SHORT)).select("a", "b")
-    both = near.join(side(texts, "a"), "a").join(side(texts, "b"), "b")
+    near = pairs.join(side(signatures, "a"), "a").join(side(signatures, "b"), "b").where(~unlike("a", "b", num, den))
+    near = Stored(near.where((agree >= AGREE) | (F.least("size_a", "size_b") <= SHORT)).select("a", "rid_a", "b", "rid_b"), "line-pairs")
+    tried = near.df.select("a", "b")
+    if not near.df.limit(1).count():
+        return tried, tried
+    ends = near.df.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")).distinct()
+    texts = Stored(lines.select("rid", F.col("line").cast("binary").alias("line")).join(ends.hint("shuffle_hash"), "rid").withColumn("marks", once([F.col("line")], marks)), "line-texts")
+    of = lambda x, **c: texts.df.select(F.col("rid").alias(f"rid_{x}"), *(v.alias(f"{k}_{x}") for k, v in c.items())).hint("merge")
+    n_a, n_b, shared = F.size("marks_a"), F.size("marks_b"), F.size(F.array_intersect("marks_a", "marks_b"))
+    apart = (n_a + n_b - 2 * shared) * (den + num) > (places_in("size_a") + places_in("size_b")) * (den - num)
+    sized = {"marks": F.col("marks"), "size": F.octet_length("line")}
+    close = near.df.join(of("a", **sized), "rid_a").join(of("b", **sized), "rid_b").where(~apart)
+    close = Stored(close.select("a", "rid_a", "b", "rid_b"), "line-close")
+    both = close.df.join(of("a", line=F.col("line")), "rid_a").join(of("b", line=F.col("line")), "rid_b")
     alike = lambda x, y: F.size(F.array_intersect(x, y)) * den >= F.size(F.array_union(x, y)) * num
-    return both.where(once([shingle_hashes(F.col("line_a")), shingle_hashes(F.col("line_b"))], alike)).select("a", "b")
+    links = Stored(both.where(once([shingle_hashes(F.col("line_a")), shingle_hashes(F.col("line_b"))], alike)).select("a", "b"), "line-links")
+    texts.drop()
+    close.drop()
+    return links.df, tried
 
 
 def merged(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -111,43 +149,44 @@ def merged(known: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def components(lines: DataFrame, num: int, den: int) -> DataFrame:
-    """lines (node, rid, line), rid unique: (node, component) of the nodes that links connect to another node."""
-    every = Stored(signed(lines), "line-signatures")
+    """lines (node, rid, line), rid unique and stored: (node, component) of the nodes that links connect to another node."""
+    every, texts = Stored(signed(lines), "line-signatures"), lines.select("rid", "line")
     bands = banded(every.df)
     shared = bands.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("m")).where("least < most")
-    near = Stored(bands.join(shared.select("band", "least", "m").hint("merge"), "band"), "line-near")
-    # signatures and texts of the nodes that have a candidate at all, the text from one occurrence
-    nodes = Stored(near.df.groupBy("node").agg(F.min("rid").alias("rid"), F.min("least").alias("least")), "line-nodes")
-    signatures = Stored(every.df.drop("rid").join(nodes.df.select("node").hint("merge"), "node"), "line-near-signatures")
+    found = Stored(bands.join(shared.select("band", "least", "m").hint("merge"), "band"), "line-found")
+    nodes = Stored(found.df.groupBy("node").agg(F.min("least").alias("least")), "line-nodes")
+    signatures = Stored(every.df.join(nodes.df.select("node").hint("merge"), "node"), "line-near-signatures")
     every.drop()
-    texts = Stored(lines.select("rid", F.col("line").cast("binary").alias("line")).join(nodes.df.select("rid", "node").hint("merge"), "rid").select("node", "line"), "line-texts")
+    near = Stored(found.df.drop("least").join(signatures.df.select("node", "size", *SKETCH).hint("merge"), "node"), "line-near")
+    found.drop()
     meet = nodes.df.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    links = Stored(verified(meet, signatures.df, texts.df, num, den), "line-links")
-    known = Stored(connected_components(nodes.df.select(F.col("node").alias("id")), links.df).select(F.col("id").alias("node"), "component"), "line-components")
+    links, tried = verified(meet, signatures.df, texts, num, den)
+    known = Stored(connected_components(nodes.df.select(F.col("node").alias("id")), links).select(F.col("id").alias("node"), "component"), "line-components")
     number = F.xxhash64("node", F.lit("centre")).cast("double") / 2.0**64 + 0.5
     open_ones, t = near, 0
     while True:
-        links.drop()
         # bands that have lines of different components, and lines in them that have not met
-        named = open_ones.df.select("band", "node", "m").join(known.df.hint("merge"), "node").select("band", "node", "component", "m")
+        named = open_ones.df.select("band", "node", "m", "size", *SKETCH).join(known.df.hint("merge"), "node")
         mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
         rest = Stored(named.join(mixed.hint("merge"), "band", "left_semi"), "line-open")
         open_ones.drop()
         open_ones, t = rest, t + 1
         share = F.lit(STEP**t) / F.col("m")
         centres = rest.df.where((number < share) & (number >= share / STEP if t > 1 else F.lit(True)))
-        others = rest.df.select("band", F.col("node").alias("b"), F.col("component").alias("cb"))
-        pairs = centres.select("band", F.col("node").alias("a"), F.col("component").alias("ca")).join(others.hint("merge"), "band").where("ca <> cb")
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        links = Stored(verified(pairs, signatures.df, texts.df, num, den), "line-links")
-        if links.df.limit(1).count():
-            after = merged(known.df, links.df)
+        side = lambda df, x: df.select("band", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "size", *SKETCH)))  # noqa: E731, B023
+        pairs = side(centres, "a").join(side(rest.df, "b").hint("merge"), "band").where(F.col("component_a") != F.col("component_b")).where(~unlike("a", "b", num, den))
+        # a pair meets once, in whatever bands
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
+        links, more = verified(pairs, signatures.df, texts, num, den)
+        tried = tried.unionByName(more)
+        if links.limit(1).count():
+            after = merged(known.df, links)
             known.drop()
             known = after
         if not rest.df.where(F.col("m") > STEP**t).limit(1).count():  # else some have been no centre yet
             break
     out = Stored(known.df.where("node <> component"), "line-parts")
-    for x in (known, open_ones, nodes, signatures, texts, links):
+    for x in (known, open_ones, nodes, signatures):
         x.drop()
     return out.df
 

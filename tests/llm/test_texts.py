@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from revlake.llm import common, fasttokens, jaccard_join, line_dedup, mixing, packing, quality, suffix_dedup, token_counts, toxicity
@@ -302,3 +303,28 @@ def test_empty_tables(spark):
     assert line_dedup.dedup_lines(empty).count() == 0
     assert suffix_dedup.remove_repeats(empty).count() == 0
     assert mixing.mix(empty, {}).count() == 0
+
+
+def test_marks_and_sketches_lose_no_linked_pair(spark):
+    """Lines with repeated shingles, short and long: what tells pairs apart before the texts are compared never parts a
+    linked pair, and parts most pairs of long lines that are fairly alike but not linked."""
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    lines, pairs = [], []
+    for size in [1, 2, 3, 8, 60, 120] * 20:
+        a = [rng.choice(words) for _ in range(size)] * rng.choice((1, 1, 3))
+        b = [rng.choice(words) if rng.random() < rng.choice((0.01, 0.05, 0.1)) else w for w in a]
+        lines += [" ".join(a), " ".join(b)]
+        pairs.append((len(lines) - 2, len(lines) - 1))
+    shingles = [{x[j : j + 8] for j in range(max(1, len(x) - 7))} for x in lines]
+    rows = common.stored(spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "node long, rid long, line string"), "test-lines")
+    signatures = common.stored(line_dedup.signed(rows), "test-signatures")
+    of = lambda x: signatures.select(*(F.col(c).alias(f"{c}_{x}") for c in signatures.columns))
+    asked = spark.createDataFrame(pairs, "node_a long, node_b long").join(of("a"), "node_a").join(of("b"), "node_b")
+    apart = {(r.node_a, r.node_b) for r in asked.where(line_dedup.unlike("a", "b", 80, 100)).collect()}
+    linked = {(i, j) for i, j in pairs if 100 * len(shingles[i] & shingles[j]) >= 80 * len(shingles[i] | shingles[j])}
+    assert linked and linked != set(pairs) and not apart & linked
+    marked = {r.rid: set(r.m) for r in rows.select("rid", line_dedup.marks(F.col("line").cast("binary")).alias("m")).collect()}
+    differ = {(i, j): len(marked[i] ^ marked[j]) for i, j in pairs}
+    assert all(n <= len(shingles[i] ^ shingles[j]) for (i, j), n in differ.items())
+    assert all(n >= 0.9 * len(shingles[i] ^ shingles[j]) for (i, j), n in differ.items())
