@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlake.llm.common import stored
+from revlake.llm.hashing import slices
 
 CONTEXT, LOWER, DISCOUNT = 5, 4, 0.75
 #: The top order's discount is this share of the smaller class's documents, within these bounds.
@@ -34,6 +36,8 @@ WORD = re.compile(r"\w+")
 #: Words are valued in whole units of 1 / UNIT, so that sums do not depend on their order.
 FLUSH, HEAD, UNIT, SLICES = 500_000, 300_000, 1 << 32, 4
 LONGEST = 64
+#: Stands for a word without a value among the most frequent ones; no value is that low.
+MISSING = -(1 << 62)
 BINS, CLIP = 4000, 20000
 
 
@@ -152,36 +156,57 @@ def word_values(words: DataFrame, seen: DataFrame, left: DataFrame) -> DataFrame
     return words.join(reduce(DataFrame.unionByName, sums), "_id", "left").select("word", "n", F.coalesce("value", F.lit(0)).alias("value"))
 
 
-def runs(text: str | None, known: dict[str, int]) -> tuple[float | None, list[dict], list[str]]:
+def runs(words: list[str], known: dict[str, int]) -> tuple[float | None, list[dict], list[str]]:
     """The largest evidence of runs of RUN words (of all words, if fewer) that are known; of the other runs the known
     words' sum, the length, and where the other words are in the last list. 0 without words."""
-    words = WORD.findall((text or "").lower())
     if not words:
         return 0.0, [], []
-    k = min(RUN, len(words))
+    n, k = len(words), min(RUN, len(words))
+    values = np.fromiter(map(known.get, words, repeat(MISSING)), np.int64, n)
+    lengths = np.fromiter(map(len, words), np.int64, n) + 1
+    gaps = np.flatnonzero(values == MISSING).tolist()
     others: dict[str, int] = {}
-    values, at = [], []
-    for w in words:
-        x = known.get(w)
-        values.append(x or 0)
-        at.append(-1 if x is not None else others.setdefault(w, len(others)))
-    unknown, sums, lengths = (np.concatenate([[0], np.cumsum(x)]) for x in (np.array(at) >= 0, np.array(values, np.int64), [len(w) + 1 for w in words]))
+    at = {i: others.setdefault(words[i], len(others)) for i in gaps}
+    values[gaps] = 0
+    unknown = np.zeros(n, np.int64)
+    unknown[gaps] = 1
+    unknown, sums, lengths = (np.concatenate([[0], np.cumsum(x)]) for x in (unknown, values, lengths))
     unknown, sums, lengths = (x[k:] - x[:-k] for x in (unknown, sums, lengths))
     lengths, sure = np.maximum(lengths, LEAST), unknown == 0
     best = float((sums[sure] / lengths[sure]).max() / UNIT) if sure.any() else None
-    rest = {(int(sums[i]), int(lengths[i]), tuple(x for x in at[i : i + k] if x >= 0)) for i in np.flatnonzero(~sure).tolist()}
+    rest = {(int(sums[i]), int(lengths[i]), tuple(at[x] for x in range(i, i + k) if x in at)) for i in np.flatnonzero(~sure).tolist()}
     return best, [{"sum": a, "length": b, "at": list(c)} for a, b, c in sorted(rest)], list(others)
 
 
+def runs_of(texts: list[str | None], known: dict[str, int]) -> list[tuple[float | None, list[dict], list[str]]]:
+    """runs() of each text's words; texts whose words are all known are worked out together."""
+    each = [WORD.findall((t or "").lower()) for t in texts]
+    words = list(chain.from_iterable(each))
+    sizes = np.fromiter(map(len, each), np.int64, len(each))
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    values = np.fromiter(map(known.get, words, repeat(MISSING)), np.int64, len(words))
+    gaps = np.concatenate([[0], np.cumsum(values == MISSING)])
+    whole = (sizes >= RUN) & (gaps[bounds[1:]] == gaps[bounds[:-1]])
+    largest = np.zeros(len(each))
+    if whole.any():
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        sums, lengths = (np.concatenate([[0], np.cumsum(x)]) for x in (values, lengths))
+        found = (sums[RUN:] - sums[:-RUN]) / np.maximum(lengths[RUN:] - lengths[:-RUN], LEAST)
+        # a text's last runs would reach into the next one
+        spans = np.stack([bounds[:-1][whole], bounds[1:][whole] - RUN + 1], 1).ravel()
+        largest[whole] = np.maximum.reduceat(np.append(found, 0.0), spans)[::2] / UNIT
+    return [(x, [], []) if sure else runs(w, known) for w, x, sure in zip(each, largest.tolist(), whole.tolist(), strict=True)]
+
+
 def score_all(texts: DataFrame, values: DataFrame, model) -> DataFrame:
     """Adds evidence to (…, text) and drops text. values are those of all words, model of the most frequent ones."""
-    keep = [c for c in texts.columns if c != "text"]
+    keep, place = [c for c in texts.columns if c != "text"], texts.columns.index("text")
     run = pa.struct([("sum", pa.int64()), ("length", pa.int64()), ("at", pa.list_(pa.int32()))])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value
-        for batch in batches:
-            got = [runs(t, known) for t in batch.column("text").to_pylist()]
+        for batch in (part for b in batches for part in slices(b, place)):
+            got = runs_of(batch.column("text").to_pylist(), known)
             found = [pa.array([x[i] for x in got], t) for i, t in enumerate((pa.float64(), pa.list_(run), pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], names=[*keep, "evidence", "_rest", "_words"])
 

@@ -328,3 +328,18 @@ def test_marks_and_sketches_lose_no_linked_pair(spark):
     differ = {(i, j): len(marked[i] ^ marked[j]) for i, j in pairs}
     assert all(n <= len(shingles[i] ^ shingles[j]) for (i, j), n in differ.items())
     assert all(n >= 0.9 * len(shingles[i] ^ shingles[j]) for (i, j), n in differ.items())
+
+
+def test_texts_scored_together_fare_as_each_alone():
+    rng = random.Random(3)
+    known = {f"w{k}": rng.randint(-(10**12), 10**12) for k in range(50)}
+    texts = [" ".join(f"w{rng.randint(0, 50)}" for _ in range(n)) for n in (0, 1, 2, 3, 4, 9, 40)] * 30 + [None, " w1 ", "w1 w2 w3"]
+    rng.shuffle(texts)
+    got = toxicity.runs_of(texts, known)
+    for t, (best, rest, others) in zip(texts, got, strict=True):
+        w = (t or "").split()
+        k = min(toxicity.RUN, len(w))
+        runs = [w[i : i + k] for i in range(len(w) - k + 1)] if w else []
+        sure = [sum(known[x] for x in r) / max(toxicity.LEAST, sum(len(x) + 1 for x in r)) / toxicity.UNIT for r in runs if all(x in known for x in r)]
+        assert best == (pytest.approx(max(sure)) if sure else None if runs else 0.0)
+        assert set(others) == {x for x in w if x not in known} and len(rest) <= len(runs) - len(sure)
