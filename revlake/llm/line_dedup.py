@@ -1,36 +1,43 @@
 """Fuzzy line de-duplication, in DataFrame functions only.
 
 A line's set are the distinct SHINGLE-byte shingles of its normalised form. All shingles are hashed; the signature are
-BANDS * ROWS minima of the hash under as many masks (x XOR mask; the shingle whose hash lies nearest to the mask), and
-each ROWS of them are a band. Short lines, whose minima repeat each other, have further bands of two minima. Two lines
-are candidates if they share a band and, unless one is short, AGREE of their minima (sets of similarity 0.8 agree in 17
-of 21 on average, in fewer than 12 once in some hundred pairs). Every candidate pair is verified exactly or lies in one
-component already: in the first round each line meets the least line of its bands; in round t it meets those lines of
-its bands whose number, a hash in [0, 1), is below STEP^t / (lines in the band), as long as the band has lines of different
-components. So a band of n variants of one line costs n comparisons, and unrelated lines in a band meet in steps, never
-as all pairs at once. Components come from distributed union-find, and of each the first occurrence stays.
+MINIMA, each the least hash under a mask of its own (x XOR mask; the shingle whose hash lies nearest to the mask), and a
+band are three of them: the 12 lines of the affine plane whose points the nine minima are, so that of sets that agree in
+any five minima 43 in 100 share a band, and of those that agree in more nearly all or all do. Short lines, whose minima
+repeat each other, have further bands of two. Lines that share a band with another line get a sketch of BITS bits, of which
+each shingle sets one; two of these lines are candidates if their sketches do not rule out that they are linked. Every
+candidate pair is verified exactly or lies in one component already: in the first round each line meets the least line of
+its bands; in round t it meets those lines of its bands whose number, a hash in [0, 1), is below STEP^t / (lines in the
+band), as long as the band has lines of different components. Of the pairs that would join the same two components the one
+whose sketches differ least is verified first, the others only if that did not join them. Components come from distributed
+union-find, and of each the first occurrence stays.
 
 Shingles are exploded rather than kept in arrays: generated code works through them about ten times faster than the
-interpreted array functions do, which verify the candidates alone.
+interpreted array functions do. Candidates are verified in the same way.
 """
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revlake.llm.common import Stored, connected_components, packed, unpacked
 
-SHINGLE, ROWS, BANDS, AGREE = 8, 3, 7, 12
-#: Lines of at most SHORT bytes have bands of two minima besides, and need not agree in AGREE.
+SHINGLE = 8
+#: Lines of at most SHORT bytes have bands of two minima besides.
 SHORT = 64
 #: By how much the centres of a band grow in number from round to round.
 STEP = 16.0
-MINIMA = [f"m{j}" for j in range(ROWS * BANDS)]
-#: 256 bits, of which each shingle sets one.
-SKETCH = [f"s{k}" for k in range(4)]
+MINIMA = [f"m{j}" for j in range(9)]
+#: Points 3 * x + y of the lines of the affine plane of order 3: each two points lie on one line.
+TRIPLES = [(3 * x, 3 * x + 1, 3 * x + 2) for x in range(3)] + [(c, 3 + (a + c) % 3, 6 + (2 * a + c) % 3) for a in range(3) for c in range(3)]
+PAIRS = [(j, (j + k) % 9) for k in (1, 2) for j in range(9)]
+BITS = 2048
+SKETCH = [f"s{k}" for k in range(BITS // 64)]
 
 
 def normalised(line: Column) -> Column:
@@ -41,14 +48,9 @@ def normalised(line: Column) -> Column:
     return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
 
 
-def places(line: Column) -> Column:
-    """Where the shingles of a binary line start; a line shorter than one is a shingle itself."""
-    return F.sequence(F.lit(1), F.greatest(F.octet_length(line) - (SHINGLE - 1), F.lit(1)))
-
-
-def shingle_hashes(line: Column) -> Column:
-    """64-bit hashes of all shingles of a binary line."""
-    return F.transform(places(line), lambda i: F.xxhash64(F.substring(line, i, F.lit(SHINGLE))))
+def places_in(size: Column) -> Column:
+    """How many shingles a line of `size` bytes has at most; one shorter than a shingle is one itself."""
+    return F.greatest(size - (SHINGLE - 1), F.lit(1))
 
 
 def once(values: list[Column], f) -> Column:
@@ -57,28 +59,50 @@ def once(values: list[Column], f) -> Column:
     return F.transform(F.array(F.struct(*(v.alias(f"v{k}") for k, v in enumerate(values)))), lambda s: f(*(s[f"v{k}"] for k in range(len(values)))))[0]
 
 
+@contextlib.contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """Generated methods over 8000 bytes, which the JVM never compiles, are made as several ones meanwhile. Those that hold
+    sketches against each other would be."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def mask(j: int) -> int:
     """The j-th of masks that are spread over all 32-bit numbers, as a signed one."""
     x = (j + 1) * 0x9E3779B9 & 0xFFFFFFFF
     return x - (1 << 32) if x >> 31 else x
 
 
-def signed(lines: DataFrame) -> DataFrame:
-    """lines (node, rid, line) to (node, rid, size, minima, sketch): a row of each node, with the least rid."""
-    each = lines.select("node", "rid", F.col("line").cast("binary").alias("b"))
-    each = each.select("node", "rid", F.octet_length("b").alias("size"), "b", F.explode(places(F.col("b"))).alias("i"))
-    each = each.select("node", "rid", "size", F.hash(F.substring("b", F.col("i"), F.lit(SHINGLE))).alias("h"))
-    bit = F.expr("shiftleft(1L, h >>> 2)")
-    sketch = [F.bit_or(F.when(F.col("h").bitwiseAND(F.lit(3)) == k, bit).otherwise(F.lit(0).cast("long"))).alias(s) for k, s in enumerate(SKETCH)]
+def hashed(lines: DataFrame, *keep: str) -> DataFrame:
+    """lines (line and what is kept) to a row of each shingle, with the line's size and the shingle's 32-bit hash."""
+    each = lines.select(*keep, F.col("line").cast("binary").alias("b"))
+    each = each.select(*keep, F.octet_length("b").alias("size"), "b", F.explode(F.sequence(F.lit(1), places_in(F.octet_length("b")))).alias("i"))
+    return each.select(*keep, "size", F.hash(F.substring("b", F.col("i"), F.lit(SHINGLE))).alias("h"))
+
+
+def minimal(lines: DataFrame) -> DataFrame:
+    """lines (node, rid, line) to (node, rid, size, minima): a row of each node, with the least rid."""
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(mask(j)))).alias(m) for j, m in enumerate(MINIMA)]
-    return each.groupBy("node").agg(F.min("rid").alias("rid"), F.max("size").alias("size"), *minima, *sketch)
+    return hashed(lines, "node", "rid").groupBy("node").agg(F.min("rid").alias("rid"), F.max("size").alias("size"), *minima)
+
+
+def signed(lines: DataFrame) -> DataFrame:
+    """lines (node, line), nodes once each, to (node, size, sketch)."""
+    each = hashed(lines.repartition("node"), "node").select("node", "size", F.col("h").bitwiseAND(F.lit(len(SKETCH) - 1)).alias("word"), F.expr("shiftleft(1L, h >>> 5)").alias("bit"))
+    words = each.groupBy("node", "word").agg(F.max("size").alias("size"), F.bit_or("bit").alias("bits"))
+    sketch = [F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(s) for k, s in enumerate(SKETCH)]
+    return words.groupBy("node").agg(F.max("size").alias("size"), *sketch)
 
 
 def banded(signatures: DataFrame) -> DataFrame:
     """(node, band): a row of each band."""
-    of = lambda *at: F.xxhash64(F.lit(at[0]), F.lit(len(at)), *(F.col(MINIMA[j]) for j in at))
-    whole = [of(*range(ROWS * k, ROWS * (k + 1))) for k in range(BANDS)]
-    pairs = [of(j, j + BANDS * k) for k in range(1, ROWS) for j in range(BANDS)]
+    of = lambda at: F.xxhash64(*(F.lit(j) for j in at), *(F.col(MINIMA[j]) for j in at))
+    whole, pairs = [of(at) for at in TRIPLES], [of(at) for at in PAIRS]
     bands = F.when(F.col("size") <= SHORT, F.array(*whole, *pairs)).otherwise(F.array(*whole))
     return signatures.select("node", F.explode(bands).alias("band"))
 
@@ -90,50 +114,37 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select("doc_id", "uid", "line_no", F.xxhash64("line").alias("node"), "line")
 
 
-def places_in(size: str) -> Column:
-    """How many shingles a line of `size` bytes has at most."""
-    return F.greatest(F.col(size) - (SHINGLE - 1), F.lit(1))
+def marks(line: Column) -> Column:
+    """16 bits of the hash of each shingle of a binary line, each once: another measure beside the sketches. Sets of marks
+    differ in no more elements than the sets of shingles do, and for lines of ordinary length in hardly fewer."""
+    places = F.sequence(F.lit(1), places_in(F.octet_length(line)))
+    return F.array_distinct(F.transform(places, lambda i: F.shiftright(F.hash(F.substring(line, i, F.lit(SHINGLE))), 16).cast("short")))
 
 
-def marks(line: Column) -> Column:
-    """16 bits of the hash of each shingle of a binary line, each once. Sets of marks differ in no more elements than the
-    sets of shingles do, and for lines of ordinary length in hardly fewer."""
-    return F.array_distinct(F.transform(places(line), lambda i: F.shiftright(F.hash(F.substring(line, i, F.lit(SHINGLE))), 16).cast("short")))
+def difference(x: str, y: str) -> Column:
+    """In how many bits rows' sketches differ. Doubles are added without a test for overflow, which takes longer than the rest."""
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{s}_{x}").bitwiseXOR(F.col(f"{s}_{y}"))).cast("double") for s in SKETCH])
 
 
 def unlike(x: str, y: str, num: int, den: int) -> Column:
     """Whether rows' sketches alone tell that sets x and y are less than num / den alike: each bit that only one sketch has
     comes from a shingle that only one line has, and sets so alike differ in (den - num) / (den + num) of their sizes' sum
     at most. Sizes are numbers of places, thus not too small. No linked pair is lost."""
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"{s}_{x}").bitwiseXOR(F.col(f"{s}_{y}"))) for s in SKETCH])
-    return apart * (den + num) > (places_in(f"size_{x}") + places_in(f"size_{y}")) * (den - num)
-
-
-def verified(pairs: DataFrame, signatures: DataFrame, lines: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Those of pairs (a, b) whose minima agree and whose lines' sets are at least num / den alike, and those whose minima
-    agree; signatures (node, rid, size, minima, sketch), lines (rid, line). Texts are moved once, of the lines that are left;
-    then pairs are held against each other by their marks, which a line has worked out once for all of its pairs."""
-    side = lambda df, x: df.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in df.columns)).hint("merge")
-    agree = reduce(Column.__add__, [(F.col(f"{m}_a") == F.col(f"{m}_b")).cast("int") for m in MINIMA])
-    near = pairs.join(side(signatures, "a"), "a").join(side(signatures, "b"), "b").where(~unlike("a", "b", num, den))
-    near = Stored(near.where((agree >= AGREE) | (F.least("size_a", "size_b") <= SHORT)).select("a", "rid_a", "b", "rid_b"), "line-pairs")
-    tried = near.df.select("a", "b")
-    if not near.df.limit(1).count():
-        return tried, tried
-    ends = near.df.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")).distinct()
-    texts = Stored(lines.select("rid", F.col("line").cast("binary").alias("line")).join(ends.hint("shuffle_hash"), "rid").withColumn("marks", once([F.col("line")], marks)), "line-texts")
-    of = lambda x, **c: texts.df.select(F.col("rid").alias(f"rid_{x}"), *(v.alias(f"{k}_{x}") for k, v in c.items())).hint("merge")
-    n_a, n_b, shared = F.size("marks_a"), F.size("marks_b"), F.size(F.array_intersect("marks_a", "marks_b"))
-    apart = (n_a + n_b - 2 * shared) * (den + num) > (places_in("size_a") + places_in("size_b")) * (den - num)
-    sized = {"marks": F.col("marks"), "size": F.octet_length("line")}
-    close = near.df.join(of("a", **sized), "rid_a").join(of("b", **sized), "rid_b").where(~apart)
-    close = Stored(close.select("a", "rid_a", "b", "rid_b"), "line-close")
-    both = close.df.join(of("a", line=F.col("line")), "rid_a").join(of("b", line=F.col("line")), "rid_b")
-    alike = lambda x, y: F.size(F.array_intersect(x, y)) * den >= F.size(F.array_union(x, y)) * num
-    links = Stored(both.where(once([shingle_hashes(F.col("line_a")), shingle_hashes(F.col("line_b"))], alike)).select("a", "b"), "line-links")
-    texts.drop()
-    close.drop()
-    return links.df, tried
+    return difference(x, y) * (den + num) > (places_in(F.col(f"size_{x}")) + places_in(F.col(f"size_{y}"))) * (den - num)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b), once each, whose lines' sets are at least num / den alike; texts (node, line)."""
+    of = lambda x: texts.select(F.col("node").alias(x), F.col("line").cast("binary").alias(f"line_{x}")).hint("merge")
+    both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
+    # places of both lines' shingles, those of b from its end; all of a pair lie in one task as they come from one row
+    n_b = F.octet_length("line_b")
+    both_places = F.concat(F.sequence(F.lit(1), places_in(F.octet_length("line_a"))), F.sequence(-n_b, places_in(n_b) - n_b - 1))
+    each = both.select("a", "b", "line_a", "line_b", F.explode(both_places).alias("i"))
+    shingle = F.substring(F.when(F.col("i") > 0, F.col("line_a")).otherwise(F.col("line_b")), F.col("i"), F.lit(SHINGLE))
+    sides = each.select("a", "b", F.xxhash64(shingle).alias("h"), F.when(F.col("i") > 0, 1).otherwise(2).alias("side")).groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
+    counts = sides.groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("shared"), F.count("*").alias("n"))
+    return counts.where(F.col("shared") * den >= F.col("n") * num).select("a", "b")
 
 
 def merged(known: DataFrame, links: DataFrame) -> DataFrame:
@@ -150,47 +161,63 @@ def merged(known: DataFrame, links: DataFrame) -> DataFrame:
 
 def components(lines: DataFrame, num: int, den: int) -> DataFrame:
     """lines (node, rid, line), rid unique and stored: (node, component) of the nodes that links connect to another node."""
-    every, texts = Stored(signed(lines), "line-signatures"), lines.select("rid", "line")
-    bands = banded(every.df)
-    shared = bands.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("m")).where("least < most")
-    found = Stored(bands.join(shared.select("band", "least", "m").hint("merge"), "band"), "line-found")
+    every = Stored(minimal(lines), "line-signatures")
+    one = Window.partitionBy("band")
+    bands = banded(every.df).withColumns({"m": F.count("*").over(one), "least": F.min("node").over(one)}).where("m > 1")
+    found = Stored(bands, "line-found")
     nodes = Stored(found.df.groupBy("node").agg(F.min("least").alias("least")), "line-nodes")
-    signatures = Stored(every.df.join(nodes.df.select("node").hint("merge"), "node"), "line-near-signatures")
+    rids = every.df.join(nodes.df.select("node").hint("merge"), "node").select("rid", "node")
+    texts = Stored(lines.select("rid", "line").join(rids.hint("shuffle_hash"), "rid").select("node", "line"), "line-texts")
     every.drop()
-    near = Stored(found.df.drop("least").join(signatures.df.select("node", "size", *SKETCH).hint("merge"), "node"), "line-near")
-    found.drop()
+    sketches = Stored(signed(texts.df), "line-sketches")
+    side = lambda df, x: df.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in df.columns))
     meet = nodes.df.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    links, tried = verified(meet, signatures.df, texts, num, den)
-    known = Stored(connected_components(nodes.df.select(F.col("node").alias("id")), links).select(F.col("id").alias("node"), "component"), "line-components")
+    meet = meet.join(side(sketches.df, "a").hint("merge"), "a").join(side(sketches.df, "b").hint("merge"), "b").where(~unlike("a", "b", num, den))
+    links = Stored(verified(meet, texts.df, num, den), "line-links")
+    known = Stored(connected_components(nodes.df.select(F.col("node").alias("id")), links.df).select(F.col("id").alias("node"), "component"), "line-components")
+    links.drop()
     number = F.xxhash64("node", F.lit("centre")).cast("double") / 2.0**64 + 0.5
-    open_ones, t = near, 0
+    open_ones, t = found, 0
     while True:
         # bands that have lines of different components, and lines in them that have not met
-        named = open_ones.df.select("band", "node", "m", "size", *SKETCH).join(known.df.hint("merge"), "node")
+        named = open_ones.df.select("band", "node", "m").where(F.col("m") > (STEP**t if t else 1)).join(known.df.hint("merge"), "node")
         mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        rest = Stored(named.join(mixed.hint("merge"), "band", "left_semi"), "line-open")
+        rest = Stored(named.join(mixed.hint("merge"), "band", "left_semi").select("band", "node", "m", "component"), "line-open")
         open_ones.drop()
         open_ones, t = rest, t + 1
+        if not rest.df.limit(1).count():
+            break
         share = F.lit(STEP**t) / F.col("m")
-        centres = rest.df.where((number < share) & (number >= share / STEP if t > 1 else F.lit(True)))
-        side = lambda df, x: df.select("band", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "size", *SKETCH)))  # noqa: E731, B023
-        pairs = side(centres, "a").join(side(rest.df, "b").hint("merge"), "band").where(F.col("component_a") != F.col("component_b")).where(~unlike("a", "b", num, den))
+        wide = Stored(rest.df.join(sketches.df.hint("merge"), "node"), "line-wide")
+        centres = wide.df.where((number < share) & (number >= share / STEP if t > 1 else F.lit(True)))
+        by = lambda df, x: df.select("band", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "size", *SKETCH)))
+        pairs = by(centres, "a").join(by(wide.df, "b").hint("merge"), "band").where(F.col("component_a") != F.col("component_b")).where(~unlike("a", "b", num, den))
         # a pair meets once, in whatever bands
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
-        links, more = verified(pairs, signatures.df, texts, num, den)
-        tried = tried.unionByName(more)
-        if links.limit(1).count():
-            after = merged(known.df, links)
-            known.drop()
-            known = after
-        if not rest.df.where(F.col("m") > STEP**t).limit(1).count():  # else some have been no centre yet
-            break
+        pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.greatest("component_a", "component_b").alias("hi"), F.least("component_a", "component_b").alias("lo")]
+        pairs = Stored(pairs.select(*pair, difference("a", "b").alias("apart")).distinct(), "line-pairs")
+        wide.drop()
+        first = pairs.df.groupBy("hi", "lo").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+        known = linked(known, first, texts.df, num, den)
+        name = lambda x: known.df.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")).hint("merge")  # noqa: E731, B023
+        others = pairs.df.select("a", "b").join(first.hint("merge"), ["a", "b"], "left_anti").join(name("a"), "a").join(name("b"), "b").where("ca <> cb")
+        known = linked(known, others, texts.df, num, den)
+        pairs.drop()
     out = Stored(known.df.where("node <> component"), "line-parts")
-    for x in (known, open_ones, nodes, signatures):
+    for x in (known, open_ones, nodes, sketches, texts):
         x.drop()
     return out.df
 
 
+def linked(known: Stored, pairs: DataFrame, texts: DataFrame, num: int, den: int) -> Stored:
+    """known after those of pairs (a, b) that turn out to be links; what was known before is dropped if there are any."""
+    links = Stored(verified(pairs, texts, num, den), "line-links")
+    after = merged(known.df, links.df) if links.df.limit(1).count() else known
+    links.drop()
+    if after is not known:
+        known.drop()
+    return after
+
+
 def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """docs, all columns kept, with text replaced, and n_lines (not blank), n_removed added under those names.
 
@@ -200,19 +227,23 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     rows; columns named like the added ones are replaced, others may have any names. Lines are compared in lower case
     with single spaces.
     """
-    rows = packed(docs).withColumns({"doc_id": F.col("row.doc_id").cast("long"), "text": F.col("row.text").cast("string")})
-    rows = rows.withColumn("uid", F.xxhash64("doc_id", "text"))
-    lines = Stored(lines_of(rows).withColumn("rid", F.monotonically_increasing_id()), "lines")  # rid is final once stored
-    parts = components(lines.df.select("node", "rid", "line"), num, den)
+    doc_id, text = F.col("row.doc_id").cast("long"), F.col("row.text").cast("string")
+    rows = packed(docs).withColumn("uid", F.xxhash64(doc_id, text))
+    lines = rows.select(doc_id.alias("doc_id"), text.alias("text"), "uid")
+    lines = Stored(lines_of(lines).withColumn("rid", F.monotonically_increasing_id()), "lines")  # rid is final once stored
+    with short_methods(docs.sparkSession):
+        parts = components(lines.df.select("node", "rid", "line"), num, den)
     at = F.struct("doc_id", "uid", "line_no")
     named = lines.df.select("doc_id", "uid", "line_no", "node").join(parts.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = Stored(named.select("doc_id", "uid", "line_no", "component"), "line-occurrences")
     lines.drop()
     kept = named.df.groupBy("component").agg(F.min(at).alias("kept"), F.count("*").alias("m")).where("m > 1").select("component", "kept")
-    fate = named.df.join(kept.hint("merge"), "component", "left").withColumn("gone", F.col("kept").isNotNull() & ~at.eqNullSafe(F.col("kept")))
-    per_doc = Stored(fate.groupBy("uid").agg(F.countDistinct("line_no").alias("n_lines"), F.collect_set(F.when(F.col("gone"), F.col("line_no"))).alias("cut")), "line-cuts")
+    gone = named.df.join(kept.hint("merge"), "component").where(~at.eqNullSafe(F.col("kept")))
+    per_doc = Stored(gone.groupBy("uid").agg(F.collect_set("line_no").alias("cut")), "line-cuts")
     named.drop()
     left = lambda every, cut: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), cut), lambda i: F.get(every, i)), "\n")
-    text = F.when(F.size("cut") > 0, once([F.split("text", "\n", -1), F.col("cut")], left)).otherwise(F.col("text"))
-    joined = rows.join(per_doc.df.hint("merge"), "uid", "left")
-    return joined.select(*unpacked(joined, text=text, n_lines=F.coalesce("n_lines", F.lit(0)).cast("long"), n_removed=F.coalesce(F.size("cut"), F.lit(0)).cast("long")))
+    joined = rows.join(per_doc.df.hint("shuffle_hash"), "uid", "left")
+    every = F.split(text, "\n", -1)
+    kept_text = F.when(F.size("cut") > 0, once([every, F.col("cut")], left)).otherwise(text)
+    n_lines = F.coalesce(F.size(F.filter(every, lambda x: x.rlike(r"\S"))), F.lit(0))
+    return joined.select(*unpacked(joined, text=kept_text, n_lines=n_lines.cast("long"), n_removed=F.coalesce(F.size("cut"), F.lit(0)).cast("long")))
