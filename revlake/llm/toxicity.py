@@ -33,6 +33,8 @@ CONTEXT, LOWER, DISCOUNT = 5, 4, 0.75
 CLASS_DISCOUNT = (0.05, 1.0, 12.0)
 RUN, LEAST = 3, 15
 WORD = re.compile(r"\w+")
+#: The characters below 256, those that are in no word as spaces.
+LATIN = bytes(i if WORD.match(chr(i)) else 32 for i in range(256))
 #: Words are valued in whole units of 1 / UNIT, so that sums do not depend on their order.
 FLUSH, HEAD, UNIT, SLICES = 500_000, 300_000, 1 << 32, 4
 LONGEST = 64
@@ -41,6 +43,15 @@ MISSING = -(1 << 62)
 BINS, CLIP = 4000, 20000
 
 
+def words_in(text: str | None) -> list[str]:
+    """WORD.findall() of the text in lower case. Texts of characters below 256, the most, are parted without it, faster."""
+    low = (text or "").lower()
+    try:
+        return low.encode("latin-1").translate(LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(low)
+
+
 def word_counts(labelled: DataFrame) -> DataFrame:
     """(text, toxic) to (word, ordinary, toxic), summed on the way: one row of each word a batch, then one in all."""
 
@@ -57,7 +68,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = sums[toxic]
-                for w in set(WORD.findall((text or "").lower())):
+                for w in set(words_in(text)):
                     s[w] = s.get(w, 0) + 1
                 if len(sums[0]) + len(sums[1]) > FLUSH:
                     yield rows()
@@ -122,7 +133,7 @@ def words_of(texts: DataFrame) -> DataFrame:
         rows = lambda: pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), pa.array(sums.values(), pa.int64())], names=["word", "n"])
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for w in set(WORD.findall((text or "").lower())):
+                for w in set(words_in(text)):
                     sums[w] = sums.get(w, 0) + 1
                 if len(sums) > FLUSH:
                     yield rows()
@@ -180,7 +191,7 @@ def runs(words: list[str], known: dict[str, int]) -> tuple[float | None, list[di
 
 def runs_of(texts: list[str | None], known: dict[str, int]) -> list[tuple[float | None, list[dict], list[str]]]:
     """runs() of each text's words; texts whose words are all known are worked out together."""
-    each = [WORD.findall((t or "").lower()) for t in texts]
+    each = [words_in(t) for t in texts]
     words = list(chain.from_iterable(each))
     sizes = np.fromiter(map(len, each), np.int64, len(each))
     bounds = np.concatenate([[0], np.cumsum(sizes)])

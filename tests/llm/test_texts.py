@@ -372,3 +372,11 @@ def test_sketches_part_what_is_fairly_alike(spark, monkeypatch):
     parts = {r.node: r.component for r in line_dedup.components(rows, 80, 100).collect()}
     assert {i: p.root(i) for i in range(len(lines)) if p.root(i) != i} == parts
     assert len(asked) < 5 * len(lines)
+
+
+def test_words_equal_the_expression():
+    rng = random.Random(5)
+    every = [chr(i) for i in range(256)] + list("İſſΣσßẞ中文가́² \u0085\u2028")
+    texts = ["".join(rng.choice(every if k % 3 else every[:256]) for _ in range(rng.randint(0, 60))) for k in range(3000)] + [None, ""]
+    for x in [*texts, *every]:
+        assert toxicity.words_in(x) == toxicity.WORD.findall((x or "").lower())
