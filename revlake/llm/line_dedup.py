@@ -3,8 +3,8 @@
 A line's set are the distinct SHINGLE-byte shingles of its normalised form. All shingles are hashed; the signature are
 MINIMA, each the least hash under a mask of its own (x XOR mask; the shingle whose hash lies nearest to the mask), and a
 band are three of them: the 12 lines of the affine plane whose points the nine minima are, so that sets that agree in any
-five minima share a band, and 72 of 126 that agree in four. Short lines, whose minima repeat each other, have further bands of two. Lines that share a band with another line get a sketch of BITS bits, of which
-each shingle sets one; two of these lines are candidates if their sketches do not rule out that they are linked. Every
+five minima share a band, and 72 of 126 that agree in four. Short lines, whose minima repeat each other, have further
+bands of two. Lines that share a band with another line get a sketch of BITS bits, of which each shingle sets one; two of these lines are candidates if their sketches do not rule out that they are linked. Every
 candidate pair is verified exactly or lies in one component already: in the first round each line meets the least line of
 its bands; in round t it meets those lines of its bands whose number, a hash in [0, 1), is below STEP^t / (lines in the
 band), as long as the band has lines of different components. Of the pairs that would join the same two components the one
