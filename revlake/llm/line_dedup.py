@@ -11,15 +11,15 @@ band), as long as the band has lines of different components. Of the pairs that
 whose sketches differ least is verified first, the others only if that did not join them. Components come from distributed
 union-find, and of each the first occurrence stays.
 
-Shingles are exploded rather than kept in arrays: generated code works through them about ten times faster than the
-interpreted array functions do. Candidates are verified in the same way.
+For signatures and sketches shingles are exploded rather than kept in arrays: generated code works through them several
+times faster than the interpreted array functions do. Candidates are verified in arrays of 64-bit hashes, pair by pair:
+there an aggregate would have to keep a row of each shingle of each pair. Only lines over LONG bytes are exploded there too.
 """
 
 from __future__ import annotations
 
 import contextlib
 from collections.abc import Iterator
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,12 +31,14 @@ SHINGLE = 8
 SHORT = 64
 #: By how much the centres of a band grow in number from round to round.
 STEP = 16.0
+#: Lines of more bytes are verified without arrays.
+LONG = 1 << 20
 MINIMA = [f"m{j}" for j in range(9)]
 #: Points 3 * x + y of the lines of the affine plane of order 3: each two points lie on one line.
 TRIPLES = [(3 * x, 3 * x + 1, 3 * x + 2) for x in range(3)] + [(c, 3 + (a + c) % 3, 6 + (2 * a + c) % 3) for a in range(3) for c in range(3)]
 PAIRS = [(j, (j + k) % 9) for k in (1, 2) for j in range(9)]
 BITS = 2048
-SKETCH = [f"s{k}" for k in range(BITS // 64)]
+WORDS = BITS // 64
 
 
 def normalised(line: Column) -> Column:
@@ -60,8 +62,8 @@ def once(values: list[Column], f) -> Column:
 
 @contextlib.contextmanager
 def short_methods(spark: SparkSession) -> Iterator[None]:
-    """Generated methods over 8000 bytes, which the JVM never compiles, are made as several ones meanwhile. Those that hold
-    sketches against each other would be."""
+    """Generated methods over 8000 bytes, which the JVM never compiles, are made as several ones meanwhile. Those that put
+    a sketch's words side by side would be."""
     key = "spark.sql.codegen.hugeMethodLimit"
     before = spark.conf.get(key)
     spark.conf.set(key, "8000")
@@ -85,17 +87,17 @@ def hashed(lines: DataFrame, *keep: str) -> DataFrame:
 
 
 def minimal(lines: DataFrame) -> DataFrame:
-    """lines (node, rid, line) to (node, rid, size, minima): a row of each node, with the least rid."""
+    """lines (node, line) to (node, size, minima): a row of each node."""
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(mask(j)))).alias(m) for j, m in enumerate(MINIMA)]
-    return hashed(lines, "node", "rid").groupBy("node").agg(F.min("rid").alias("rid"), F.max("size").alias("size"), *minima)
+    return hashed(lines, "node").groupBy("node", "size").agg(*minima)
 
 
 def signed(lines: DataFrame) -> DataFrame:
     """lines (node, line), nodes once each, to (node, size, sketch)."""
-    each = hashed(lines.repartition("node"), "node").select("node", "size", F.col("h").bitwiseAND(F.lit(len(SKETCH) - 1)).alias("word"), F.expr("shiftleft(1L, h >>> 5)").alias("bit"))
-    words = each.groupBy("node", "word").agg(F.max("size").alias("size"), F.bit_or("bit").alias("bits"))
-    sketch = [F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(s) for k, s in enumerate(SKETCH)]
-    return words.groupBy("node").agg(F.max("size").alias("size"), *sketch)
+    each = hashed(lines.repartition("node"), "node").select("node", "size", F.col("h").bitwiseAND(F.lit(WORDS - 1)).alias("word"), F.expr("shiftleft(1L, h >>> 5)").alias("bit"))
+    words = each.groupBy("node", "size", "word").agg(F.bit_or("bit").alias("bits"))
+    sketch = [F.coalesce(F.max(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")) for k in range(WORDS)]
+    return words.groupBy("node", "size").agg(F.array(*sketch).alias("sketch"))
 
 
 def banded(signatures: DataFrame) -> DataFrame:
@@ -109,7 +111,8 @@ def banded(signatures: DataFrame) -> DataFrame:
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, uid, line_no, node, line) of all lines that are not blank, normalised."""
     every = docs.select("doc_id", "uid", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "raw"))
-    lines = every.select("doc_id", "uid", "line_no", normalised(F.col("raw")).alias("line")).where("line <> ''")
+    # blank ones go by the raw text: the filter would normalise every line a second time
+    lines = every.where(F.ltrim("raw", F.lit(" \t\n\r\f\x0b")) != "").select("doc_id", "uid", "line_no", normalised(F.col("raw")).alias("line"))
     return lines.select("doc_id", "uid", "line_no", F.xxhash64("line").alias("node"), "line")
 
 
@@ -121,8 +124,9 @@ def marks(line: Column) -> Column:
 
 
 def difference(x: str, y: str) -> Column:
-    """In how many bits rows' sketches differ. Doubles are added without a test for overflow, which takes longer than the rest."""
-    return reduce(Column.__add__, [F.bit_count(F.col(f"{s}_{x}").bitwiseXOR(F.col(f"{s}_{y}"))).cast("double") for s in SKETCH])
+    """In how many bits rows' sketches differ. One sum over arrays: as 32 terms it takes twice as long inside a join."""
+    each = F.zip_with(f"sketch_{x}", f"sketch_{y}", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(each, F.lit(0), lambda n, k: n + k)
 
 
 def unlike(x: str, y: str, num: int, den: int) -> Column:
@@ -132,10 +136,23 @@ def unlike(x: str, y: str, num: int, den: int) -> Column:
     return difference(x, y) * (den + num) > (places_in(F.col(f"size_{x}")) + places_in(F.col(f"size_{y}"))) * (den - num)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b), once each, whose lines' sets are at least num / den alike; texts (node, line)."""
-    of = lambda x: texts.select(F.col("node").alias(x), F.col("line").cast("binary").alias(f"line_{x}")).hint("merge")
-    both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
+def alike(line_a: Column, line_b: Column, num: int, den: int) -> Column:
+    """Whether two binary lines' sets are at least num / den alike. Distinct shingles are counted only if the numbers of
+    places, which are no smaller, do not tell."""
+    hashes = lambda line: F.transform(F.sequence(F.lit(1), places_in(F.octet_length(line))), lambda i: F.xxhash64(F.substring(line, i, F.lit(SHINGLE))))
+
+    def counted(x: Column, y: Column) -> Column:
+        def enough(shared: Column) -> Column:
+            of = lambda n: shared * (den + num) >= n * num
+            return F.when(of(F.size(x) + F.size(y)), True).otherwise(of(F.size(F.array_distinct(x)) + F.size(F.array_distinct(y))))
+
+        return once([F.size(F.array_intersect(x, y))], enough)
+
+    return once([line_a, line_b], lambda a, b: once([hashes(a), hashes(b)], counted))
+
+
+def exploded(both: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of those of (a, b, line_a, line_b) whose sets are at least num / den alike, however long the lines are."""
     # places of both lines' shingles, those of b from its end; all of a pair lie in one task as they come from one row
     n_b = F.octet_length("line_b")
     both_places = F.concat(F.sequence(F.lit(1), places_in(F.octet_length("line_a"))), F.sequence(-n_b, places_in(n_b) - n_b - 1))
@@ -146,6 +163,18 @@ def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFram
     return counts.where(F.col("shared") * den >= F.col("n") * num).select("a", "b")
 
 
+def verified(pairs: DataFrame, texts: DataFrame, num: int, den: int, longest: int) -> DataFrame:
+    """Those of pairs (a, b), once each, whose lines' sets are at least num / den alike; texts (node, line), no line of
+    more than `longest` bytes."""
+    of = lambda x: texts.select(F.col("node").alias(x), F.col("line").cast("binary").alias(f"line_{x}")).hint("merge")
+    both = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
+    if longest <= LONG:
+        return both.where(alike(F.col("line_a"), F.col("line_b"), num, den)).select("a", "b")
+    long = F.greatest(F.octet_length("line_a"), F.octet_length("line_b")) > LONG
+    short = both.where(F.when(long, False).otherwise(alike(F.col("line_a"), F.col("line_b"), num, den))).select("a", "b")
+    return short.unionByName(exploded(both.where(long), num, den))
+
+
 def merged(known: DataFrame, links: DataFrame) -> DataFrame:
     """known (node, component) after more links (a, b): only the components that they join are worked out again."""
     name = lambda x: known.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")).hint("merge")
@@ -160,19 +189,20 @@ def merged(known: DataFrame, links: DataFrame) -> DataFrame:
 
 def components(lines: DataFrame, num: int, den: int) -> DataFrame:
     """lines (node, rid, line), rid unique and stored: (node, component) of the nodes that links connect to another node."""
-    every = Stored(minimal(lines), "line-signatures")
+    every = Stored(minimal(lines.select("node", "line")), "line-signatures")
     one = Window.partitionBy("band")
     bands = banded(every.df).withColumns({"m": F.count("*").over(one), "least": F.min("node").over(one)}).where("m > 1")
     found = Stored(bands, "line-found")
+    every.drop()
     nodes = Stored(found.df.groupBy("node").agg(F.min("least").alias("least")), "line-nodes")
-    rids = every.df.join(nodes.df.select("node").hint("merge"), "node").select("rid", "node")
+    rids = lines.select("node", "rid").join(nodes.df.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("rid").alias("rid"))
     texts = Stored(lines.select("rid", "line").join(rids.hint("shuffle_hash"), "rid").select("node", "line"), "line-texts")
-    every.drop()
     sketches = Stored(signed(texts.df), "line-sketches")
+    longest = sketches.df.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
     side = lambda df, x: df.select(*(F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in df.columns))
     meet = nodes.df.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     meet = meet.join(side(sketches.df, "a").hint("merge"), "a").join(side(sketches.df, "b").hint("merge"), "b").where(~unlike("a", "b", num, den))
-    links = Stored(verified(meet, texts.df, num, den), "line-links")
+    links = Stored(verified(meet, texts.df, num, den, longest), "line-links")
     known = Stored(connected_components(nodes.df.select(F.col("node").alias("id")), links.df).select(F.col("id").alias("node"), "component"), "line-components")
     links.drop()
     number = F.xxhash64("node", F.lit("centre")).cast("double") / 2.0**64 + 0.5
@@ -180,26 +210,26 @@ def components(lines: DataFrame, num: int, den: int) -> DataFrame:
     while True:
         # bands that have lines of different components, and lines in them that have not met
         named = open_ones.df.select("band", "node", "m").where(F.col("m") > (STEP**t if t else 1)).join(known.df.hint("merge"), "node")
-        mixed = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        rest = Stored(named.join(mixed.hint("merge"), "band", "left_semi").select("band", "node", "m", "component"), "line-open")
+        mixed = named.withColumns({"lo": F.min("component").over(one), "hi": F.max("component").over(one)}).where("lo < hi").select("band", "node", "m", "component")
+        rest = Stored(mixed.join(sketches.df.hint("merge"), "node"), "line-open")
         open_ones.drop()
         open_ones, t = rest, t + 1
         if not rest.df.limit(1).count():
             break
         share = F.lit(STEP**t) / F.col("m")
-        wide = Stored(rest.df.join(sketches.df.hint("merge"), "node"), "line-wide")
-        centres = wide.df.where((number < share) & (number >= share / STEP if t > 1 else F.lit(True)))
-        by = lambda df, x: df.select("band", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "size", *SKETCH)))
-        pairs = by(centres, "a").join(by(wide.df, "b").hint("merge"), "band").where(F.col("component_a") != F.col("component_b")).where(~unlike("a", "b", num, den))
+        # a line that has been a centre has met all others of its band; of two centres the one with the larger id asks
+        wide = rest.df.where(number >= share / STEP if t > 1 else F.lit(True)).withColumn("centre", number < share)
+        by = lambda df, x: df.select("band", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("component", "centre", "size", "sketch")))
+        asked = (F.col("component_a") != F.col("component_b")) & (~F.col("centre_b") | (F.col("a") > F.col("b")))
+        pairs = by(wide.where("centre"), "a").join(by(wide, "b").hint("merge"), "band").where(asked).where(~unlike("a", "b", num, den))
         # a pair meets once, in whatever bands
         pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.greatest("component_a", "component_b").alias("hi"), F.least("component_a", "component_b").alias("lo")]
         pairs = Stored(pairs.select(*pair, difference("a", "b").alias("apart")).distinct(), "line-pairs")
-        wide.drop()
         first = pairs.df.groupBy("hi", "lo").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
-        known = linked(known, first, texts.df, num, den)
+        known = linked(known, first, texts.df, num, den, longest)
         name = lambda x: known.df.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")).hint("merge")  # noqa: E731, B023
         others = pairs.df.select("a", "b").join(first.hint("merge"), ["a", "b"], "left_anti").join(name("a"), "a").join(name("b"), "b").where("ca <> cb")
-        known = linked(known, others, texts.df, num, den)
+        known = linked(known, others, texts.df, num, den, longest)
         pairs.drop()
     out = Stored(known.df.where("node <> component"), "line-parts")
     for x in (known, open_ones, nodes, sketches, texts):
@@ -207,9 +237,9 @@ def components(lines: DataFrame, num: int, den: int) -> DataFrame:
     return out.df
 
 
-def linked(known: Stored, pairs: DataFrame, texts: DataFrame, num: int, den: int) -> Stored:
+def linked(known: Stored, pairs: DataFrame, texts: DataFrame, num: int, den: int, longest: int) -> Stored:
     """known after those of pairs (a, b) that turn out to be links; what was known before is dropped if there are any."""
-    links = Stored(verified(pairs, texts, num, den), "line-links")
+    links = Stored(verified(pairs, texts, num, den, longest), "line-links")
     after = merged(known.df, links.df) if links.df.limit(1).count() else known
     links.drop()
     if after is not known:
@@ -233,10 +263,16 @@ def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     with short_methods(docs.sparkSession):
         parts = components(lines.df.select("node", "rid", "line"), num, den)
     at = F.struct("doc_id", "uid", "line_no")
-    named = lines.df.select("doc_id", "uid", "line_no", "node").join(parts.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = Stored(named.select("doc_id", "uid", "line_no", "component"), "line-occurrences")
+    # the components of several occurrences, by nodes; most lines are alone and go no further
+    named = lines.df.groupBy("node").agg(F.count("*").alias("n")).join(parts.hint("merge"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    named = Stored(named, "line-named")
+    several = named.df.groupBy("component").agg(F.sum("n").alias("m")).where("m > 1").select("component")
+    several = named.df.select("node", "component").join(several.hint("merge"), "component", "left_semi")
+    several = Stored(lines.df.select("doc_id", "uid", "line_no", "node").join(several.hint("merge"), "node").select("doc_id", "uid", "line_no", "component"), "line-occurrences")
     lines.drop()
-    kept = named.df.groupBy("component").agg(F.min(at).alias("kept"), F.count("*").alias("m")).where("m > 1").select("component", "kept")
+    named.drop()
+    named = several
+    kept = named.df.groupBy("component").agg(F.min(at).alias("kept"))
     gone = named.df.join(kept.hint("merge"), "component").where(~at.eqNullSafe(F.col("kept")))
     per_doc = Stored(gone.groupBy("uid").agg(F.collect_set("line_no").alias("cut")), "line-cuts")
     named.drop()

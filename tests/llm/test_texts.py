@@ -374,6 +374,47 @@ def test_sketches_part_what_is_fairly_alike(spark, monkeypatch):
     assert len(asked) < 5 * len(lines)
 
 
+def test_pairs_of_a_band_meet_in_one_round(spark, monkeypatch):
+    """Forty lines, each two in two of 30 words apart, alike by 0.75 to 0.8: bands of more lines than have centres in the
+    first round. No pair is linked, and few are compared in two rounds: only those that share bands of different sizes."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    base = [word() for _ in range(30)]
+    lines = [" ".join([*base[:10], word(), *base[11:20], word(), *base[21:]]) for _ in range(40)]
+    asked, verify = [], line_dedup.verified
+
+    def counted(pairs, *rest):
+        asked.append([(r.a, r.b) for r in pairs.select("a", "b").collect()])
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    rows = common.stored(spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "node long, rid long, line string"), "test-lines")
+    assert line_dedup.components(rows, 80, 100).count() == 0
+    later = collections.Counter(frozenset(p) for call in asked[1:] for p in call)
+    assert len(asked) > 3 and len(later) > 100 and sum(n > 1 for n in later.values()) < 0.15 * len(later)
+
+
+def test_lines_are_verified_with_and_without_arrays(spark, monkeypatch):
+    """Repeated shingles, lines shorter than a shingle, bytes beyond ASCII; a pair makes no row of each shingle."""
+    rng = random.Random(37)
+    words = ["".join(rng.choice("abcdefgh\u00e9\u4e2d") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    lines = ["", "a", "b", "aaaaaaa", "a" * 8, "a" * 9, "a" * 500, "ab" * 300]
+    for size in [2, 5, 30, 90] * 25:
+        a = [rng.choice(words) for _ in range(size)] * rng.choice((1, 1, 3))
+        lines += [" ".join(a), " ".join(rng.choice(words) if rng.random() < 0.04 else w for w in a)]
+    pairs = [(i, j) for i in range(8) for j in range(i)] + [(i, i + 1) for i in range(8, len(lines) - 1)]
+    sets = [{b[j : j + 8] for j in range(max(1, len(b) - 7))} for b in (x.encode() for x in lines)]
+    want = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    texts = common.stored(spark.createDataFrame(list(enumerate(lines)), "node long, line string"), "test-lines")
+    asked = common.stored(spark.createDataFrame(pairs, "a long, b long"), "test-pairs")
+    longest = max(len(x.encode()) for x in lines)
+    got = line_dedup.verified(asked, texts, 80, 100, longest)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert len(want) > 20 and {tuple(r) for r in got.collect()} == want
+    monkeypatch.setattr(line_dedup, "LONG", 100)
+    assert sorted(map(tuple, line_dedup.verified(asked, texts, 80, 100, longest).collect())) == sorted(want)
+
+
 def test_words_equal_the_expression():
     rng = random.Random(5)
     every = [chr(i) for i in range(256)] + list("İſſΣσßẞ中文가́² \u0085\u2028")
